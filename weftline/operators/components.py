@@ -25,7 +25,8 @@ def _stars(edges: DataFrame, scratch: Scratch, large: bool) -> DataFrame:
     moved = both.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:  # the node itself hangs from its least neighbour as well
         moved = moved.union(least.select("u", F.col("m").alias("v")))
-    return scratch.keep(moved.where("u <> v").distinct(), "edges")
+    moved = moved.where("u <> v")
+    return moved if large else scratch.keep(moved.distinct(), "edges")
 
 
 def components(edges: DataFrame, a: str, b: str, scratch: Scratch | None = None) -> DataFrame:
@@ -40,11 +41,9 @@ def components(edges: DataFrame, a: str, b: str, scratch: Scratch | None = None)
         .distinct(),
         "edges",
     )
-    mark = None
-    while True:
-        now = _stars(_stars(now, scratch, large=True), scratch, large=False)
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            break
-        mark = seen
+    print_of = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
+    seen, mark = now.agg(*print_of).first(), None
+    while seen != mark:
+        now, mark = _stars(scratch.keep(_stars(now, scratch, large=True), "large"), scratch, large=False), seen
+        seen = now.agg(*print_of).first()
     return scratch.keep(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v")).distinct(), "labels")

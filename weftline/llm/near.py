@@ -133,13 +133,12 @@ class NearDuplicates:
         schema = "id long, n long, f1 long, f2 long, keys array<long>, " + ", ".join(f"o{j} long" for j in range(_LANES))
         self.signed = self.scratch.keep(self.docs.mapInArrow(_signature_rows(shingle, bands, rows), schema), "signatures")
 
-    def classes(self) -> tuple[DataFrame, DataFrame]:
-        """``(id, rep)`` for each document, and the representatives' signatures."""
+    def classes(self) -> DataFrame:
+        """A representative of each distinct set, with its signature."""
+        columns = ["keys", *(f"o{j}" for j in range(_LANES))]
         filled = self.signed.where("n > 0 AND id IS NOT NULL")
-        groups = self.scratch.keep(filled.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "classes")
-        members = self.scratch.keep(filled.select("id", "f1", "f2", "n").join(groups, ["f1", "f2", "n"]).select("id", "rep").distinct(), "members")
-        reps = filled.join(groups.withColumnRenamed("rep", "id"), ["id", "f1", "f2", "n"], "left_semi")
-        return members, self.scratch.keep(reps, "reps")
+        groups = filled.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", *columns)).alias("r"))
+        return self.scratch.keep(groups.select("r.id", "f1", "f2", "n", *(f"r.{c}" for c in columns)), "reps")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of distinct texts that are similar enough, on full sets."""
@@ -148,21 +147,33 @@ class NearDuplicates:
         full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return self.scratch.keep(full.select("a", "b", "ta", "tb").mapInArrow(_verified(self.shingle, self.percent), "a long, b long"), "links")
 
-    def candidates(self, pairs: DataFrame, odd: DataFrame) -> DataFrame:
-        """The distinct pairs whose sketches allow the similarity."""
-        left, right = (odd.select(F.col("id").alias(s), *(F.col(f"o{j}").alias(f"{s}o{j}") for j in range(_LANES))) for s in "ab")
-        near = pairs.join(left, "a").join(right, "b").where(_differing("a", "b") <= self.limit)
-        return self.scratch.keep(near.select("a", "b").distinct(), "pairs")
+    def first_links(self, live: DataFrame, odd: DataFrame) -> DataFrame:
+        """Links of bucket members with the centres of their buckets.
 
-    def links(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-        """Members of classes, verified links between representatives, and their components."""
+        Each member is verified against the least of its centres; the others are
+        verified only where that left the two in different stars.
+        """
+        keep = self.scratch.keep
+        left, right = (odd.select(F.col("id").alias(s), *(F.col(f"o{j}").alias(f"{s}o{j}") for j in range(_LANES))) for s in "ab")
+        pairs = live.select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
+        near = keep(pairs.join(left, "a").join(right, "b").where(_differing("a", "b") <= self.limit).select("a", "b"), "pairs")
+        least = keep(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "least")
+        links = self.verify(least)
+        star = links.select(F.col("b").alias("id"), F.col("a").alias("label"))
+        one, two = (star.select(F.col("id").alias(s), F.col("label").alias(f"l{s}")) for s in "ab")
+        apart = near.join(one, "a", "left").join(two, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
+        rest = keep(apart.join(least, ["a", "b"], "left_anti"), "rest")
+        return links if rest.isEmpty() else keep(links.union(self.verify(rest)), "first-links")
+
+    def links(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Representatives, verified links between them, and their components."""
         keep = self.scratch.keep
-        members, reps = self.classes()
+        reps = self.classes()
         rows = reps.select("id", F.explode("keys").alias("key"))
         buckets = keep(rows.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("top")).where("top > c").select("key", "c"), "buckets")
-        live = keep(rows.join(buckets, "key").where("id > c").distinct(), "live")
+        live = keep(rows.join(buckets, "key").where("id > c"), "live")
         odd = reps.select("id", *(f"o{j}" for j in range(_LANES))).dropDuplicates(["id"])
-        links = self.verify(self.candidates(live.select(F.col("c").alias("a"), F.col("id").alias("b")).distinct(), odd))
+        links = self.first_links(live, odd)
         live, centres = live.select("key", "id"), 4
         while True:
             labels = components(links, "a", "b", self.scratch).withColumnRenamed("node", "id")
@@ -173,7 +184,7 @@ class NearDuplicates:
                 "open",
             )
             if open_.isEmpty():
-                return members, links, labels
+                return reps, links, labels
             active = keep(marked.join(open_, "key").join(odd, "id"), "active")
             chosen = F.expr(f"pmod(xxhash64(id, key, {centres}), m) < {centres}")
             names = [c for c in active.columns if c != "key"]
@@ -181,7 +192,8 @@ class NearDuplicates:
             two = active.select("key", *(F.col(c).alias(f"b{c}") for c in names))
             met = one.join(two, "key").where((F.col("alabel") != F.col("blabel")) & (_differing("a", "b") <= self.limit))
             pairs = keep(met.select(F.least("aid", "bid").alias("a"), F.greatest("aid", "bid").alias("b")).distinct(), "met")
-            links = keep(links.union(self.verify(pairs)).distinct(), "all-links")
+            if not pairs.isEmpty():
+                links = keep(links.union(self.verify(pairs)).distinct(), "all-links")
             live, centres = keep(active.where(~chosen).select("key", "id"), "live"), centres * 8
 
 
@@ -193,13 +205,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     probability ``(1 - s**rows)**bands``: 6e-11 at 0.85, 5e-8 at 0.8.
     """
     run = NearDuplicates(docs, id_col, text_col, shingle, percent, bands, rows)
-    members, _, labels = run.links()
+    reps, _, labels = run.links()
     named = run.scratch.keep(
-        members.join(labels.withColumnRenamed("node", "id").select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component")).groupBy("id").agg(F.min("component").alias("component")),
+        reps.select("id", "f1", "f2", "n").join(labels, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component")),
         "named",
     )
     run.scratch.settle()
-    out = run.signed.select("id", "n").join(named, "id", "left")
+    out = run.signed.select("id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component")).alias("component"))
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 

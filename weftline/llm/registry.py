@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, exact, near
+from weftline.llm import decontaminate, exact, near, substring
 
-_MODULES = (decontaminate, exact, near)
+_MODULES = (decontaminate, near, substring, exact)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,10 +7,12 @@ belong to words and how they are folded, and a polynomial prefix sum modulo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 U64 = np.uint64
 _TABLE = np.random.default_rng(73_019).integers(1, 2**64 - 1, 256, dtype=U64)
@@ -155,3 +157,15 @@ def shingles(batch: Batch, k: int) -> tuple[np.ndarray, np.ndarray]:
     before = np.zeros(n + 1, np.int64)
     np.cumsum(valid, out=before[1:])
     return mix(total)[valid], before[batch.first]
+
+
+def slices(rb: pa.RecordBatch, col: int = 0, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts in ``col`` hold about ``limit`` bytes; a longer text is a run of its own."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(rb.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < rb.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+        to = min(to, at + 4096, rb.num_rows)
+        yield rb.slice(at, to - at)
+        at = to

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, exact, near, substring
+from weftline.llm import decontaminate, exact, near, pii, quality, substring, toxicity, warc
 
-_MODULES = (decontaminate, near, substring, exact)
+_MODULES = (decontaminate, quality, pii, substring, exact, warc, toxicity, near)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, exact, near, pii, quality, substring, toxicity, warc
+from weftline.llm import decontaminate, exact, mixing, near, pii, quality, secrets, substring, toxicity, warc
 
-_MODULES = (decontaminate, quality, pii, substring, exact, warc, toxicity, near)
+_MODULES = (mixing, decontaminate, quality, pii, substring, secrets, exact, warc, toxicity, near)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -40,7 +40,7 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     parts = spark.read.option("lineSep", "#").text(path).where(F.col("value").rlike(r"^module\s"))
     cluster = F.regexp_extract("value", r"^module\s+(\d+)", 1).cast("int")
     ids = F.filter(F.split(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s+"), lambda x: x != "")
-    return parts.select(cluster.alias("cluster"), F.explode(ids).cast("long").alias("doc"))
+    return parts.select(cluster.alias("cluster"), F.explode(ids).alias("doc")).withColumn("doc", F.col("doc").cast("long"))
 
 
 def pending(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:

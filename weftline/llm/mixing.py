@@ -33,6 +33,8 @@ BLOCKS = 1024
 BLOCK_TOKENS = 4096
 #: Halvings of the exponent's range: 4 in each of 10 aggregations.
 _STEPS, _PARTS = 10, 16
+#: Tokens by which rounding may have put a quota below a whole number.
+_SLACK = 0.001
 
 
 def tokens(text: Column) -> Column:
@@ -94,7 +96,7 @@ def source_weights(docs: DataFrame, source_col: str = "source", text_col: str =
     power = F.pow("p", F.lit(exponent(shares, budget, entropy, repeats)))
     sums = shares.agg(F.sum(power).alias("z"))
     out = shares.crossJoin(F.broadcast(sums)).withColumn("weight", power / F.col("z"))  # one row
-    out = out.withColumn("quota", F.floor(F.col("weight") * budget).cast("long"))
+    out = out.withColumn("quota", F.floor(F.col("weight") * budget + _SLACK).cast("long"))
     passes = F.floor(F.col("quota") / F.col("n")).cast("long")
     blocks = F.least(F.lit(BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_TOKENS))).cast("long")
     return scratch.keep(out.select("source", "n", "p", "weight", "quota", passes.alias("passes"), (F.col("quota") - passes * F.col("n")).alias("rest"), blocks.alias("blocks")), "weights")
@@ -170,7 +172,7 @@ ORACLE_SQL = {
         a AS (SELECT greatest((SELECT lo FROM e WHERE step = 40), (SELECT 1 - hi FROM g WHERE step = 40)) AS a,
                      (SELECT ln(sum(p)) - sum(p * ln(p)) / sum(p) >= {ENTROPY} * any_value(top) FROM p) AS nat),
         w AS (SELECT source, n, p ** (CASE WHEN nat THEN 1 ELSE a END) / sum(p ** (CASE WHEN nat THEN 1 ELSE a END)) OVER () AS weight, total FROM p, a),
-        q AS (SELECT source, n, weight, floor(weight * total)::BIGINT AS quota FROM w),
+        q AS (SELECT source, n, weight, floor(weight * total + {_SLACK})::BIGINT AS quota FROM w),
         v AS (SELECT *, quota // n AS passes, quota - quota // n * n AS rest, least({BLOCKS}, greatest(1, ceil(n / {BLOCK_TOKENS})))::BIGINT AS blocks FROM q),
         r AS (SELECT doc_id, d.source, t, {_md5("'17'", _ID)} % blocks AS block FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source),
         b AS (SELECT source, block, sum(t)::BIGINT AS bt FROM r GROUP BY ALL),

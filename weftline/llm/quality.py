@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from weftline.llm import wordhash as wh
 from weftline.llm.labels import label_counts, remainder, training_ids
 
-BUCKETS = 1 << 13
+BUCKETS = 1 << 12
 #: Labelled rows that vote: a documented bound.
 MAX_LABELLED = 3000
 DIMS = 48
@@ -40,7 +40,7 @@ def counts(texts: pa.Array) -> np.ndarray:
         return out
     v = (wh._TABLE >> np.uint64(40)).astype(np.uint32)[data]
     h = (v[:-2] * np.uint32(0x9E3779B1)) ^ (v[1:-1] * np.uint32(0x85EBCA77)) ^ (v[2:] * np.uint32(0xC2B2AE3D))
-    h = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(19)).astype(np.int64)
+    h = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(20)).astype(np.int64)
     for i in range(len(texts)):
         a, b = int(at[i]), int(at[i + 1]) - 2
         if b > a:
@@ -126,6 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", i
     if not len(rows):
         return Space(idf, np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, 1), np.float32), np.zeros((0, 1), np.float32), y, prior, y)
     x = weighted(tf, idf)
+    del tf, rows
     mean = x.mean(axis=0)
     x -= mean
     start = np.random.default_rng(11).standard_normal((BUCKETS, dims + 16)).astype(np.float32)
@@ -135,9 +136,9 @@ def train(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", i
     _, _, v = np.linalg.svd(q.T @ x, full_matrices=False)
     share = np.array([max(1, int((y == c).sum())) for c in (0, 1)])
     weight = np.where(y > 0, max(shares[1], 1) / share[1], max(shares[0], 1) / share[0]) ** 0.5
-    space = Space(idf, mean, np.ascontiguousarray(v[:dims].T), np.zeros((0, dims), np.float32), y, prior, weight.astype(np.float32))
-    space.vectors = space.latent(tf)
-    return space
+    basis = np.ascontiguousarray(v[:dims].T)
+    z = x @ basis
+    return Space(idf, mean, basis, z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9), y, prior, weight.astype(np.float32))
 
 
 def score(docs: DataFrame, space: Space, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -82,17 +82,18 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, shares: tuple[int, int], lea
         prior = (shares[1] + 0.0) / max(1, sum(shares))
         return Model(weight, float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
     y = labels.astype(float)
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    p = np.bincount(flat, y[owner], BUCKETS)
-    q = np.bincount(flat, 1 - y[owner], BUCKETS)
+    p, q = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for own, toxic in zip(rows, labels, strict=True):
+        (p if toxic else q)[own] += 1  # a text's buckets are distinct
     r = np.log(((1 + p) / (y.sum() + 2)) / ((1 + q) / ((1 - y).sum() + 2)))
     share = y.mean()
     unlikely = np.abs(p - (p + q) * share) / np.sqrt(np.maximum(p + q, 1) * share * (1 - share))
     good = (p + q >= least) & (unlikely >= deviations)
-    keep = good[flat]
-    names, column = np.unique(flat[keep], return_inverse=True)
-    owner, value = owner[keep], r[flat[keep]]
+    kept = [own[good[own]] for own in rows]
+    owner = np.repeat(np.arange(len(rows)), [len(own) for own in kept])
+    flat = np.concatenate(kept)
+    names, column = np.unique(flat, return_inverse=True)
+    value = r[flat]
     w, b = np.zeros(len(names)), 0.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for t in range(1, rounds + 1):

@@ -33,7 +33,7 @@ KINDS = ("email", "ip", "card", "phone")
 LONGEST = 15
 ZONE_TOKENS = 120
 #: Documents whose zones train the model: a documented bound.
-MAX_TRAINING = 2000
+MAX_TRAINING = 600
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -295,10 +295,16 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def sample_texts(docs: DataFrame, id_col: str, text_col: str, most: int) -> list[str]:
-    """Texts with something like personal data, by the least hash; at most ``most``, 8 KB of each."""
-    some = docs.where(F.col(text_col).rlike(r"@|[0-9][0-9 ().-]{6}"))
-    rows = some.select(F.xxhash64(id_col, F.length(text_col)).alias("h"), F.substring(text_col, 1, 8192).alias("t")).orderBy("h", "t").limit(most)
-    return [r.t for r in rows.select("t").collect()]
+    """At most ``most`` whole texts with something like personal data, those of the least hashes.
+
+    The hashes are ordered without the texts, and only the sampled texts are sent.
+    """
+    some = docs.where(F.col(text_col).rlike(r"@|[0-9][0-9 ().-]{6}")).select(F.xxhash64(id_col, F.length(text_col)).alias("h"), F.col(text_col).alias("t"))
+    least = [r.h for r in some.select("h").orderBy("h").limit(most).collect()]
+    if not least:
+        return []
+    rows = some.where(F.col("h") <= least[-1]).limit(most).collect()
+    return [r.t for r in sorted(rows)]
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_training: int = MAX_TRAINING) -> DataFrame:

@@ -8,11 +8,12 @@ which is sharp for high similarities, so all but a few candidates are settled
 before any text is read; what remains is verified on full shingle sets.
 
 Groups without quadratic work: equal shingle sets are one class from the start.
-In each band bucket a centre is tried against all members; when every member
-not yet tried lies in one component the bucket is finished, as more links could
-join nothing.  Otherwise more centres follow, eight times as many each round,
-until each member has been one, so no pair of the bucket is skipped that could
-join two components.
+In the buckets of the first bands each member is verified against the one
+centre whose sketch is nearest, which joins most of each group.  Then all bands
+are searched: a bucket whose members not yet tried all lie in one component is
+finished, as more links could join nothing.  In the others centres are tried
+against all members, eight times as many each round, until each member has been
+one, so no pair of the bucket is skipped that could join two components.
 
 Defined results: null and blank texts have an empty set and link with nothing;
 texts of fewer words than a shingle are one shingle; rows that repeat an id are
@@ -38,6 +39,8 @@ BITS = 256
 _LANES = BITS // 64
 #: Rows of a document's shingle matrix are cut so that a text of any length fits.
 _COLUMNS = 8192
+#: Bands of the first round, which joins most of each group before all bands are searched.
+FIRST_BANDS = 8
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,53 +150,64 @@ class NearDuplicates:
         full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return self.scratch.keep(full.select("a", "b", "ta", "tb").mapInArrow(_verified(self.shingle, self.percent), "a long, b long"), "links")
 
-    def first_links(self, live: DataFrame, odd: DataFrame) -> DataFrame:
-        """Links of bucket members with the centres of their buckets.
+    def near(self, pairs: DataFrame, odd: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) whose sketches are near enough, with their distance d."""
+        left, right = (odd.select(F.col("id").alias(s), *(F.col(f"o{j}").alias(f"{s}o{j}") for j in range(_LANES))) for s in "ab")
+        met = pairs.join(left, "a").join(right, "b").withColumn("d", _differing("a", "b"))
+        return self.scratch.keep(met.where(F.col("d") <= self.limit).select("a", "b", "d"), name)
+
+    def nearest(self, near: DataFrame) -> DataFrame:
+        """For each member b the centre a with the nearest sketch."""
+        return self.scratch.keep(near.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b"), "nearest")
+
+    def labels(self, links: DataFrame) -> DataFrame:
+        return components(links, "a", "b", self.scratch).withColumnRenamed("node", "id")
 
-        Each member is verified against the least of its centres; the others are
-        verified only where that left the two in different stars.
-        """
+    def joined(self, near: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links with those among ``near``, and their labels: a member's nearest centre first, others only where they could join two components."""
         keep = self.scratch.keep
-        left, right = (odd.select(F.col("id").alias(s), *(F.col(f"o{j}").alias(f"{s}o{j}") for j in range(_LANES))) for s in "ab")
-        pairs = live.select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
-        near = keep(pairs.join(left, "a").join(right, "b").where(_differing("a", "b") <= self.limit).select("a", "b"), "pairs")
-        least = keep(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "least")
-        links = self.verify(least)
-        star = links.select(F.col("b").alias("id"), F.col("a").alias("label"))
-        one, two = (star.select(F.col("id").alias(s), F.col("label").alias(f"l{s}")) for s in "ab")
+        tried = self.nearest(near)
+        links = keep(links.union(self.verify(tried)), "links")
+        labels = self.labels(links)
+        one, two = (labels.select(F.col("id").alias(s), F.col("component").alias(f"l{s}")) for s in "ab")
         apart = near.join(one, "a", "left").join(two, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
-        rest = keep(apart.join(least, ["a", "b"], "left_anti"), "rest")
-        return links if rest.isEmpty() else keep(links.union(self.verify(rest)), "first-links")
+        rest = keep(apart.join(tried, ["a", "b"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+        if rest.isEmpty():
+            return links, labels
+        links = keep(links.union(self.verify(rest)), "links")
+        return links, self.labels(links)
 
     def links(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Representatives, verified links between them, and their components."""
         keep = self.scratch.keep
         reps = self.classes()
-        rows = reps.select("id", F.explode("keys").alias("key"))
-        buckets = keep(rows.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("top")).where("top > c").select("key", "c"), "buckets")
-        live = keep(rows.join(buckets, "key").where("id > c"), "live")
         odd = reps.select("id", *(f"o{j}" for j in range(_LANES))).dropDuplicates(["id"])
-        links = self.first_links(live, odd)
-        live, centres = live.select("key", "id"), 4
+        rows = reps.select("id", F.explode(F.slice("keys", 1, FIRST_BANDS)).alias("key"))
+        buckets = keep(rows.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("top")).where("top > c").select("key", "c"), "buckets")
+        pairs = keep(rows.join(buckets, "key").where("id > c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct(), "starred")
+        links = self.verify(self.nearest(self.near(pairs, odd, "near")))
+        labels, live, centres = self.labels(links), None, 4
         while True:
-            labels = components(links, "a", "b", self.scratch).withColumnRenamed("node", "id")
             self.scratch.settle()
-            marked = keep(live.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")), "marked")
+            label = F.coalesce("component", "id").alias("label")
+            if live is None:  # all bands; labels are joined before a document's keys are spread
+                marked = keep(reps.select("id", "keys").join(labels, "id", "left").select("id", label, "keys"), "labelled").select(F.explode("keys").alias("key"), "id", "label")
+            else:
+                marked = keep(live.join(labels, "id", "left").select("key", "id", label), "marked")
             open_ = keep(
                 marked.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2").select("key", "m"),
                 "open",
             )
             if open_.isEmpty():
                 return reps, links, labels
-            active = keep(marked.join(open_, "key").join(odd, "id"), "active")
+            active = keep(marked.join(open_, "key"), "active")
             chosen = F.expr(f"pmod(xxhash64(id, key, {centres}), m) < {centres}")
-            names = [c for c in active.columns if c != "key"]
-            one = active.where(chosen).select("key", *(F.col(c).alias(f"a{c}") for c in names))
-            two = active.select("key", *(F.col(c).alias(f"b{c}") for c in names))
-            met = one.join(two, "key").where((F.col("alabel") != F.col("blabel")) & (_differing("a", "b") <= self.limit))
-            pairs = keep(met.select(F.least("aid", "bid").alias("a"), F.greatest("aid", "bid").alias("b")).distinct(), "met")
-            if not pairs.isEmpty():
-                links = keep(links.union(self.verify(pairs)).distinct(), "all-links")
+            one = active.where(chosen).select("key", F.col("id").alias("a"), F.col("label").alias("la"))
+            two = active.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
+            met = one.join(two, "key").where("la <> lb").select("a", "b").distinct()
+            near = self.near(met, odd, "near")
+            if not near.isEmpty():
+                links, labels = self.joined(near, links)
             live, centres = keep(active.where(~chosen).select("key", "id"), "live"), centres * 8
 
 

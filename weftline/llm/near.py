@@ -35,7 +35,9 @@ from weftline.llm import wordhash as wh
 from weftline.operators.components import components
 from weftline.plans.scratch import Scratch
 
-BITS = 256
+BITS = 1024
+#: Samples in the odd sketch: the least hash in each of ``BINS`` ranges under ``SAMPLES // BINS`` permutations.
+SAMPLES, BINS = 512, 32
 _LANES = BITS // 64
 #: Rows of a document's shingle matrix are cut so that a text of any length fits.
 _COLUMNS = 8192
@@ -48,15 +50,36 @@ def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)
 
 
-def sketch_limit(similarity: float, samples: int, bits: int = BITS) -> int:
+def sketch_limit(similarity: float, samples: int = SAMPLES, bits: int = BITS) -> int:
     """The population count that two sets of this similarity stay under, but for six deviations.
 
     Of ``samples`` about ``samples * (1 - similarity)`` differ, and each puts two
-    differing items on the bitmap.
+    differing items on the bitmap.  The deviation is that of the samples and that
+    of the bitmap together.  Ranges that are empty on both sides agree, which only
+    lowers the count.
     """
-    differ = samples * (1 - similarity) + 6 * math.sqrt(samples * similarity * (1 - similarity))
-    mean = bits / 2 * (1 - (1 - 2 / bits) ** (2 * differ))
-    return math.ceil(mean + 6 * math.sqrt(bits) / 4)
+    items = 2 * samples * (1 - similarity)
+    slope = (1 - 2 / bits) ** items
+    drawn = 2 * math.sqrt(samples * similarity * (1 - similarity)) * slope
+    folded = math.sqrt(bits / 4 * (1 - (1 - 4 / bits) ** items))
+    return math.ceil(bits / 2 * (1 - slope) + 6 * math.hypot(drawn, folded))
+
+
+def sketched(low: np.ndarray) -> np.ndarray:
+    """The samples of one set (32-bit hashes) for its odd sketch; the bound of a range stands for an empty one."""
+    a, b = _coefficients(SAMPLES // BINS)
+    floor = np.arange(BINS, dtype=np.uint32) * np.uint32(2**32 // BINS)
+    least = np.full((len(a), BINS), 0xFFFFFFFF, np.uint32)
+    for j in range(0, len(low), _COLUMNS):
+        part = np.multiply.outer(a, low[j : j + _COLUMNS])
+        part += b[:, None]
+        part.sort(axis=1)
+        for row, own in zip(part, least, strict=True):
+            at = np.searchsorted(row, floor)
+            there = at < len(row)
+            own[there] = np.minimum(own[there], row[at[there]])
+    top = floor + np.uint32(2**32 // BINS - 1)
+    return np.where(least <= top, least, floor).ravel()
 
 
 def signatures(texts: pa.Array, shingle: int, bands: int, rows: int) -> dict[str, np.ndarray]:
@@ -67,6 +90,7 @@ def signatures(texts: pa.Array, shingle: int, bands: int, rows: int) -> dict[str
     a, b = _coefficients(k)
     size, f1, f2 = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     least = np.full((n, k), 0xFFFFFFFF, np.uint32)
+    drawn = np.zeros((n, SAMPLES), np.uint32)
     for i in np.flatnonzero(np.diff(first)):
         own = np.unique(hashes[first[i] : first[i + 1]])
         size[i] = len(own)
@@ -76,13 +100,15 @@ def signatures(texts: pa.Array, shingle: int, bands: int, rows: int) -> dict[str
             part = np.multiply.outer(a, low[j : j + _COLUMNS])
             part += b[:, None]
             np.minimum(least[i], part.min(axis=1), out=least[i])
+        drawn[i] = sketched(low)
     lane = np.arange(k, dtype=np.uint64) << np.uint64(32)
     samples = wh.mix(least.astype(np.uint64) | lane)
     keys = np.zeros((n, bands), np.uint64)
     for r in range(rows):
         keys = keys * np.uint64(0x9E3779B97F4A7C15) + samples[:, r::rows]
     keys = wh.mix(keys)
-    bit = (samples >> np.uint64(32)).astype(np.int64) % BITS
+    lane = np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)
+    bit = (wh.mix(drawn.astype(np.uint64) | lane) >> np.uint64(32)).astype(np.int64) % BITS
     odd = np.bincount((bit + np.arange(n)[:, None] * BITS).ravel(), minlength=n * BITS).reshape(n, BITS) & 1
     lanes = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64).reshape(n, _LANES)
     return {"n": size, "f1": f1.view(np.int64), "f2": f2.view(np.int64), "keys": keys.view(np.int64), "odd": lanes}
@@ -132,7 +158,7 @@ class NearDuplicates:
         self.scratch = Scratch(docs.sparkSession, "near")
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         self.shingle, self.percent = shingle, percent
-        self.limit = sketch_limit(percent / 100, bands * rows)
+        self.limit = sketch_limit(percent / 100)
         schema = "id long, n long, f1 long, f2 long, keys array<long>, " + ", ".join(f"o{j} long" for j in range(_LANES))
         self.signed = self.scratch.keep(self.docs.mapInArrow(_signature_rows(shingle, bands, rows), schema), "signatures")
 

@@ -91,6 +91,24 @@ def test_near(spark, odd):
     assert near.near_duplicates(odd).count() == odd.count()
 
 
+@pytest.mark.parametrize("block", [1, 5, 256])
+def test_near_blocks(spark, block, monkeypatch):
+    """A bucket of many components, cut into blocks of any size, loses no link."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    rng = random.Random(12)
+    base = words(21, 160).split()
+    rows = []
+    for i in range(80):
+        own = list(base)
+        for _ in range(rng.randrange(2, 9)):
+            own[rng.randrange(len(own))] = f"z{rng.randrange(3)}"
+        rows.append((i, " ".join(own), "a"))
+    df = table(spark, rows)
+    want = brute_near([(r.doc_id, r.text) for r in df.collect()], 3, 85)
+    assert 5 < len({c for _, c in want.values()}) < 75
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(df, shingle=3, percent=85).collect()} == want
+
+
 def test_sketches_estimate(spark):
     import numpy as np
     import pyarrow as pa

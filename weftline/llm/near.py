@@ -7,13 +7,16 @@ population count of the XOR of two sketches estimates how many samples differ,
 which is sharp for high similarities, so all but a few candidates are settled
 before any text is read; what remains is verified on full shingle sets.
 
-Groups without quadratic work: equal shingle sets are one class from the start.
-In the buckets of the first bands each member is verified against the one
-centre whose sketch is nearest, which joins most of each group.  Then all bands
-are searched: a bucket whose members not yet tried all lie in one component is
-finished, as more links could join nothing.  In the others centres are tried
-against all members, eight times as many each round, until each member has been
-one, so no pair of the bucket is skipped that could join two components.
+Large groups: equal shingle sets are one class from the start.  In the buckets
+of the first bands each member is verified against the one centre whose sketch
+is nearest, which joins most of each group.  Then all bands are searched: a
+bucket whose members all lie in one component is finished, as more links could
+join nothing.  From the others those members go that provably link with no
+other: a shingle that no other searched document holds is missing from every
+intersection and is part of every union, which bounds the similarity from
+above.  What is left of a bucket is split into blocks of bounded size, each a
+task's unit of work: there pairs of different components pass the bounds, the
+sketches, and at last the full sets, and no pair leaves a block but a link.
 
 Defined results: null and blank texts have an empty set and link with nothing;
 texts of fewer words than a shingle are one shingle; rows that repeat an id are
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,8 @@ _LANES = BITS // 64
 _COLUMNS = 8192
 #: Bands of the first round, which joins most of each group before all bands are searched.
 FIRST_BANDS = 8
+#: A block holds about so many members of a bucket, or of each of two parts of a large one.
+BLOCK = 256
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,6 +153,82 @@ def _verified(shingle: int, percent: int):
     return run
 
 
+def _sets(shingle: int):
+    """The distinct shingles of each text, and their sum, which names the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for rb in wh.slices(whole, 1):
+                hashes, first = wh.shingles(wh.split(rb.column(1), wh.LOWER), shingle)
+                own = [np.unique(hashes[i:j]) for i, j in pairwise(first)]
+                ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                f1 = np.array([x.sum(dtype=np.uint64) for x in own], np.uint64).view(np.int64)
+                sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(f1), sets], names=["id", "f1", "set"])
+
+    return run
+
+
+def block_links(parts: list[pa.RecordBatch], percent: int, limit: int) -> list[tuple[int, int]]:
+    """Links that join the components of one block's members; pairs that also share an earlier band are left to that band."""
+    column = lambda c: pa.concat_arrays([p.column(c) for p in parts])
+    ids, n, u, label, part = (column(c).to_numpy() for c in ("id", "n", "u", "label", "c"))
+    band, across = parts[0].column("band")[0].as_py(), parts[0].column("i")[0].as_py() != parts[0].column("j")[0].as_py()
+    sets = column("set")
+    _, token = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    own = np.split(token, np.cumsum(sets.value_lengths().to_numpy())[:-1])
+    keys = column("keys").flatten().to_numpy().reshape(len(ids), -1)[:, :band]
+    odd = np.stack([column(f"o{j}").to_numpy() for j in range(_LANES)], axis=1).view(np.uint64)
+    piece = np.unique(label, return_inverse=True)[1]
+    seen = np.zeros(len(token), bool)
+    out = []
+    for a in range(len(ids) - 1):
+        b = a + 1 + np.flatnonzero(piece[a + 1 :] != piece[a])
+        if across:
+            b = b[part[b] != part[a]]
+        b = b[percent * np.maximum(n[a] + u[b], n[b] + u[a]) <= 100 * np.minimum(n[a] - u[a], n[b] - u[b])]
+        b = b[~(keys[b] == keys[a]).any(axis=1)]
+        b = b[np.bitwise_count(odd[b] ^ odd[a]).sum(axis=1, dtype=np.int64) <= limit]
+        if not len(b):
+            continue
+        seen[own[a]] = True
+        for x in b:
+            if piece[x] == piece[a]:
+                continue
+            both = np.count_nonzero(seen[own[x]])
+            if 100 * both >= percent * (n[a] + n[x] - both):
+                out.append((int(ids[a]), int(ids[x])))
+                piece[piece == piece[x]] = piece[a]
+        seen[own[a]] = False
+    return out
+
+
+def _blocks(percent: int, limit: int):
+    """Rows come sorted by block; a block is held whole, and nothing else is."""
+
+    def batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[s] for x in links], pa.int64()) for s in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for rb in batches:
+            links: list[tuple[int, int]] = []
+            names = np.stack([rb.column(c).to_numpy() for c in ("key", "i", "j")])
+            cuts = np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1
+            for s, e in pairwise([0, *cuts.tolist(), rb.num_rows]):
+                if held and now != tuple(names[:, s]):
+                    links += block_links(held, percent, limit)
+                    held = []
+                now = tuple(names[:, s])
+                held.append(rb.slice(s, e - s))
+            yield batch(links)
+        if held:
+            yield batch(block_links(held, percent, limit))
+
+    return run
+
+
 def _differing(left: str, right: str) -> Column:
     return sum((F.bit_count(F.col(f"{left}o{j}").bitwiseXOR(F.col(f"{right}o{j}"))) for j in range(1, _LANES)), F.bit_count(F.col(f"{left}o0").bitwiseXOR(F.col(f"{right}o0"))))
 
@@ -189,19 +271,38 @@ class NearDuplicates:
     def labels(self, links: DataFrame) -> DataFrame:
         return components(links, "a", "b", self.scratch).withColumnRenamed("node", "id")
 
-    def joined(self, near: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links with those among ``near``, and their labels: a member's nearest centre first, others only where they could join two components."""
+    def opened(self, rows: DataFrame, name: str) -> DataFrame:
+        """The members of buckets that hold several components, but for those that can link with none of the others."""
+        p = self.percent
+        buckets = rows.groupBy("key").agg(
+            F.min("label").alias("l1"), F.max("label").alias("l2"), F.count(F.lit(1)).alias("m"),
+            F.min("n").alias("least"), F.min("u").alias("lone"), F.max(F.col("n") - F.col("u")).alias("most"),
+        )
+        fits = p * F.greatest(F.col("n") + F.col("lone"), F.col("least") + F.col("u")) <= 100 * F.least(F.col("n") - F.col("u"), "most")
+        return self.scratch.keep(rows.join(buckets.where("l1 < l2"), "key").where(fits).select(*rows.columns), name)
+
+    def weeded(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
+        """``rows`` with ``u``, the number of shingles that no other document among them holds, as far as links are possible."""
+        p = self.percent
+        here = rows.select("id", "f1").distinct()
+        shown = sets.join(here, ["id", "f1"], "left_semi").select("id", "f1", F.explode("set").alias("h"))
+        once = shown.groupBy("h").agg(F.min("id").alias("id"), F.min("f1").alias("f1"), F.count(F.lit(1)).alias("c")).where("c = 1")
+        lone = self.scratch.keep(once.groupBy("id", "f1").agg(F.count(F.lit(1)).alias("u")), "lone")
+        marked = rows.drop("u").join(lone, ["id", "f1"], "left").withColumn("u", F.coalesce("u", F.lit(0).cast("long"))).select(*rows.columns)
+        # a partner has at least the share p of n shingles
+        possible = marked.where(p * (p * F.col("n") + 100 * F.col("u")) <= 10_000 * (F.col("n") - F.col("u")))
+        return self.opened(self.scratch.keep(possible, "possible"), "weeded")
+
+    def searched(self, rows: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
+        """Links (a, b) between different components that share a bucket."""
         keep = self.scratch.keep
-        tried = self.nearest(near)
-        links = keep(links.union(self.verify(tried)), "links")
-        labels = self.labels(links)
-        one, two = (labels.select(F.col("id").alias(s), F.col("component").alias(f"l{s}")) for s in "ab")
-        apart = near.join(one, "a", "left").join(two, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
-        rest = keep(apart.join(tried, ["a", "b"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
-        if rest.isEmpty():
-            return links, labels
-        links = keep(links.union(self.verify(rest)), "links")
-        return links, self.labels(links)
+        here = rows.select("id", "f1").distinct()
+        members = keep(sets.join(here, ["id", "f1"], "left_semi").join(reps.select("id", "f1", "keys", *(f"o{j}" for j in range(_LANES))), ["id", "f1"]), "members")
+        parts = F.ceil(F.col("m") / BLOCK).cast("int")
+        placed = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key").withColumn("c", F.pmod(F.xxhash64("id"), parts).cast("int"))
+        spread = placed.withColumn("x", F.explode(F.sequence(F.lit(0), parts - 1))).select(*rows.columns, "c", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"))
+        blocks = spread.join(members, ["id", "f1"]).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return keep(blocks.mapInArrow(_blocks(self.percent, self.limit), "a long, b long"), "found")
 
     def links(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Representatives, verified links between them, and their components."""
@@ -212,29 +313,22 @@ class NearDuplicates:
         buckets = keep(rows.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("top")).where("top > c").select("key", "c"), "buckets")
         pairs = keep(rows.join(buckets, "key").where("id > c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct(), "starred")
         links = self.verify(self.nearest(self.near(pairs, odd, "near")))
-        labels, live, centres = self.labels(links), None, 4
-        while True:
-            self.scratch.settle()
-            label = F.coalesce("component", "id").alias("label")
-            if live is None:  # all bands; labels are joined before a document's keys are spread
-                marked = keep(reps.select("id", "keys").join(labels, "id", "left").select("id", label, "keys"), "labelled").select(F.explode("keys").alias("key"), "id", "label")
-            else:
-                marked = keep(live.join(labels, "id", "left").select("key", "id", label), "marked")
-            open_ = keep(
-                marked.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2").select("key", "m"),
-                "open",
-            )
-            if open_.isEmpty():
-                return reps, links, labels
-            active = keep(marked.join(open_, "key"), "active")
-            chosen = F.expr(f"pmod(xxhash64(id, key, {centres}), m) < {centres}")
-            one = active.where(chosen).select("key", F.col("id").alias("a"), F.col("label").alias("la"))
-            two = active.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
-            met = one.join(two, "key").where("la <> lb").select("a", "b").distinct()
-            near = self.near(met, odd, "near")
-            if not near.isEmpty():
-                links, labels = self.joined(near, links)
-            live, centres = keep(active.where(~chosen).select("key", "id"), "live"), centres * 8
+        labels = self.labels(links)
+        self.scratch.settle()
+        # all bands; labels are joined before a document's keys are spread
+        labelled = keep(reps.select("id", "f1", "n", "keys").join(labels, "id", "left").select("id", "f1", "n", F.coalesce("component", "id").alias("label"), "keys"), "labelled")
+        spread = labelled.select(F.posexplode("keys").alias("band", "key"), "id", "f1", "n", "label", F.lit(0).cast("long").alias("u"))
+        rows = self.opened(spread, "active")
+        sets = keep(self.docs.join(rows.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_sets(self.shingle), "id long, f1 long, set array<long>"), "sets")
+        many = rows.count()
+        while many:
+            rows = self.weeded(rows, sets)
+            before, many = many, rows.count()
+            if many > 0.9 * before:
+                break
+        self.scratch.settle()
+        links = keep(links.union(self.searched(rows, sets, reps)), "links")
+        return reps, links, self.labels(links)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:

@@ -33,6 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows in an Arrow batch while intermediate tables are written: texts are long, and each task holds some batches.
+ARROW_ROWS = 1000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Scratch:
     """A folder of intermediate tables for one run of an operator."""
 
@@ -47,8 +52,12 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a DataFrame that reads what was written."""
-        at = self.path(name)
-        df.write.parquet(at)
+        at, before = self.path(name), self.spark.conf.get(_ARROW)
+        self.spark.conf.set(_ARROW, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+        try:
+            df.write.parquet(at)
+        finally:
+            self.spark.conf.set(_ARROW, before)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def settle(self) -> None:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import wordhash as wh
+from weftline.plans.scratch import Scratch
 
 WINDOW = 8
 SHINGLE = 5
@@ -139,8 +140,8 @@ def _count(block: Windows):
         total = np.zeros(len(asked), np.int64)
         lengths = sorted({min(block.shingle, n) for n in block.by_length})
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                names = block.names(wh.split(whole.column(0).slice(at, 2048), wh.ALNUM))
+            for rb in wh.slices(whole, 0, 1 << 20):
+                names = block.names(wh.split(rb.column(0), wh.ALNUM))
                 for k in lengths:
                     own = block.keys(names, k)
                     own = own[own > 0]
@@ -156,8 +157,7 @@ def _count(block: Windows):
 def _probe(block: Windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                rb = whole.slice(at, 2048)
+            for rb in wh.slices(whole, 1, 1 << 20):
                 text, spans, items = (rb.column(rb.schema.get_field_index(c)) for c in ("text", "__spans", "__items"))
                 batch = wh.split(text, wh.ALNUM)
                 spans, items = spans.to_pylist(), items.to_pylist()
@@ -169,11 +169,13 @@ def _probe(block: Windows):
     return run
 
 
-def _finish(least: int):
+def _finish(block: Windows, least: int):
+    """The last block's search and the digests, in one worker."""
+    probe = _probe(block)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                rb = whole.slice(at, 2048)
+        for whole in probe(batches):
+            for rb in wh.slices(whole, 1, 1 << 20):
                 counts = wh.split(rb.column(1), wh.ALNUM).counts()
                 hit, n_items, digest = [], [], []
                 for n, spans, items in zip(counts.tolist(), rb.column(2).to_pylist(), rb.column(3).to_pylist(), strict=True):
@@ -221,14 +223,17 @@ def contamination(
         counts = rows.select("text").mapInArrow(_count(block), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         # At most a row for each shingle of the block.
         block.choose({int(np.int64(r.key).view(np.uint64)): r.n for r in counts.collect()})
-        out = out.mapInArrow(_probe(block), f"id {kind}, text string, __spans array<int>, __items array<string>")
-    done = out.mapInArrow(_finish(least_items), f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+        if block is not blocks[-1]:
+            out = out.mapInArrow(_probe(block), f"id {kind}, text string, __spans array<int>, __items array<string>")
+    done = out.mapInArrow(_finish(blocks[-1], least_items), f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
     return done.withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without the documents that hold windows of several benchmark items."""
     bad = contamination(docs, benchmark, id_col, text_col, **how).where("contaminated").select(F.col(id_col).alias("__bad")).distinct()
+    # written, so that the join knows its size and leaves the texts where they are if it is small
+    bad = Scratch(docs.sparkSession, "contaminated").keep(bad, "bad")
     return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
 
 

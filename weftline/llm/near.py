@@ -123,8 +123,7 @@ def signatures(texts: pa.Array, shingle: int, bands: int, rows: int) -> dict[str
 def _signature_rows(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                rb = whole.slice(at, 1024)
+            for rb in wh.slices(whole, 1, 1 << 20):
                 s = signatures(rb.column(1), shingle, bands, rows)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(s["n"]) * bands + 1, bands, dtype=np.int32)), pa.array(s["keys"].ravel()))
                 yield pa.RecordBatch.from_arrays(
@@ -140,8 +139,8 @@ def _verified(shingle: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                rb = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 128):
+                rb = whole.slice(at, 128)
                 sides = [wh.shingles(wh.split(rb.column(c), wh.LOWER), shingle) for c in (2, 3)]
                 keep = np.zeros(rb.num_rows, bool)
                 for i in range(rb.num_rows):
@@ -158,7 +157,7 @@ def _sets(shingle: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for rb in wh.slices(whole, 1):
+            for rb in wh.slices(whole, 1, 1 << 20):
                 hashes, first = wh.shingles(wh.split(rb.column(1), wh.LOWER), shingle)
                 own = [np.unique(hashes[i:j]) for i, j in pairwise(first)]
                 ends = np.cumsum([0, *map(len, own)]).astype(np.int32)

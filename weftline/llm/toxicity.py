@@ -72,7 +72,7 @@ class Model:
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, shares: tuple[int, int], least: int = 6, deviations: float = 3.0, l2: float = 5.0, rounds: int = 120) -> Model:
-    """rows: the distinct buckets of each training text.
+    """rows: the distinct buckets of each training text; the list is emptied, as it is the driver's largest object.
 
     Buckets that fewer than ``least`` texts have, or whose toxic share is within
     ``deviations`` of what chance gives, are left out.
@@ -89,15 +89,21 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, shares: tuple[int, int], lea
     share = y.mean()
     unlikely = np.abs(p - (p + q) * share) / np.sqrt(np.maximum(p + q, 1) * share * (1 - share))
     good = (p + q >= least) & (unlikely >= deviations)
-    kept = [own[good[own]] for own in rows]
-    owner = np.repeat(np.arange(len(rows)), [len(own) for own in kept])
-    flat = np.concatenate(kept)
-    names, column = np.unique(flat, return_inverse=True)
-    value = r[flat]
+    n = len(rows)
+    for i in range(n):
+        rows[i] = rows[i][good[rows[i]]]
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(own) for own in rows])
+    flat = np.concatenate(rows)
+    rows.clear()
+    names = np.flatnonzero(np.bincount(flat, minlength=BUCKETS))
+    place = np.zeros(BUCKETS, np.int32)
+    place[names] = np.arange(len(names))
+    column, value = place[flat], r[flat]
+    del flat
     w, b = np.zeros(len(names)), 0.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(owner, value * w[column], len(rows)) + b
+        z = np.bincount(owner, value * w[column], n) + b
         g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
         grad = np.append(np.bincount(column, value * g[owner], len(names)) + l2 * w / len(y), g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -122,8 +128,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, allowed, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Model:
     ids = F.broadcast(training_ids(labels, label, allowed, max_labelled, id_col))  # at most max_labelled rows
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, "__id").select("__label", "__text").mapInArrow(_features, "label int, buckets binary").collect()
-    return fit([np.frombuffer(r.buckets, np.int32) for r in rows], np.array([r.label for r in rows]), label_counts(labels, label, allowed, id_col))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, "__id").select("__label", "__text").mapInArrow(_features, "label int, buckets binary")
+    shares, given, taken = label_counts(labels, label, allowed, id_col), [], []
+    for r in rows.collect():
+        given.append(r.label)
+        taken.append(np.frombuffer(r.buckets, np.int32))
+    return fit(taken, np.array(given), shares)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

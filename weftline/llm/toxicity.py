@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed, label: str = "toxic", id_
     ids = F.broadcast(training_ids(labels, label, allowed, max_labelled, id_col))  # at most max_labelled rows
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, "__id").select("__label", "__text").mapInArrow(_features, "label int, buckets binary")
     shares, given, taken = label_counts(labels, label, allowed, id_col), [], []
-    for r in rows.collect():
+    for r in rows.repartition(8).toLocalIterator():  # one of eight parts at a time in the driver's JVM
         given.append(r.label)
         taken.append(np.frombuffer(r.buckets, np.int32))
     return fit(taken, np.array(given), shares)

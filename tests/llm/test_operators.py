@@ -128,6 +128,19 @@ def test_substring(spark, odd, tmp_path):
     assert substring.drop_repeats(odd).count() == odd.count()
 
 
+def test_substring_cut_runs(spark, tmp_path):
+    """A repeat that starts or ends inside a run of equal words, which is longer than LONGEST in one copy only."""
+    rows = []
+    for i in range(12):
+        passage = words(i, 30, 10**6)
+        for j, n in enumerate((20, 5)):
+            lead, tail = words(9000 + 2 * i + j, 40, 10**6), words(5000 + 2 * i + j, 40, 10**6)
+            rows.append((2 * i + j, f"{lead} {'- ' * n}{passage} {tail}" if i % 2 else f"{lead} {passage} {'- ' * n}{tail}", "a"))
+    con = folder(table(spark, rows), tmp_path)
+    same(substring.op5_substring_dedup(spark, str(tmp_path)), con, substring.ORACLE_SQL["op5_substring_dedup"])
+    assert substring.drop_repeats(table(spark, rows)).where("n_removed = 35").count() == 24
+
+
 def test_decontaminate(spark, odd):
     item = words(3, 50)
     bench = spark.createDataFrame([(1, item), (2, words(4, 50)), (3, "one"), (None, "one two"), (4, None), (5, "")], "item_id long, text string")

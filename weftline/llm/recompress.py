@@ -62,10 +62,13 @@ def parse(hashes: np.ndarray, first: np.ndarray, rounds: int, longest: int) -> S
     begin, end = first[:-1], first[1:]
     same = np.zeros(n, bool)
     same[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
-    run = np.flatnonzero(~same)
-    length = np.repeat(np.diff(np.append(run, n)), np.diff(np.append(run, n)))
+    run = np.append(np.flatnonzero(~same), n)
+    length = np.repeat(np.diff(run), np.diff(run))
     everywhere = np.ones(n, bool)  # each symbol is where it is as its neighbours differ
     s, doc = _merge(s, ~same | (length > longest), doc, begin, end, everywhere, everywhere, 0)
+    cut = np.flatnonzero(length[s.start] > longest)  # left single as the whole run is too long, so they depend on all of it
+    which = np.searchsorted(run, s.start[cut], "right")
+    s.low[cut], s.high[cut] = run[which - 1] - 1, run[which] + 1
     for r in range(1, rounds + 1):
         is_left = (mix(s.name + U64(r * 0x51ED27)) >> U64(63)).astype(bool)
         size = s.end - s.start

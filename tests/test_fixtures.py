@@ -90,6 +90,15 @@ def test_interval_quantile(spark):
     assert ST.t_quantiles(spark, 10).where("df = 10").first().t == pytest.approx(2.228139, abs=1e-5)
 
 
+@pytest.mark.parametrize(("n", "want"), [(11, 2.2281388520), (201, 1.9718962236), (202, 1.9718365068), (1001, 1.9623390808), (10_000, 1.9602012636)])
+def test_interval_width(spark, n, want):
+    """At n - 1 degrees of freedom, for any n; the quantiles are known values."""
+    rows = spark.createDataFrame([("a", n, 0.0, 1.0), ("b", 1, 0.0, None)], "g string, n long, mean double, sem double")
+    got = {r.g: r.ci95 for r in ST.with_interval(rows).collect()}
+    assert got == {"a": pytest.approx(want, abs=1e-7), "b": None}
+    assert ST._quantile(n - 1, 0.975) == pytest.approx(want, abs=1e-7)
+
+
 def test_components(spark):
     rows = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(rows, "a long, b long"), "a", "b").collect()}

@@ -185,6 +185,19 @@ def test_pii(spark, odd):
     assert pii.base_spans("9" * 200_000 + "a" * 200_000) == []
 
 
+def test_pii_long_zone():
+    """A list of numbers is one zone of hundreds of tokens; none is lost or broken, and none is cut for training."""
+    model = pii.SemiMarkov({"3|digits,sep=11, ()-": 5.0, "3|first=d": 1.0, "3|last=d": 1.0, "3|": -3.0})
+    numbers = [f"1 (171) 555-{2000 + i}" for i in range(60)]
+    text = "5 " + " ".join(numbers)
+    base, every = pii.find(text, model)
+    assert len(pii.tokens(text, *pii.zones(text)[0])) > 4 * pii.ZONE_TOKENS and base == []
+    assert [text[s:e] for s, _, e in every] == numbers
+    marked = " ".join(f"+{n}" for n in numbers)
+    cases = list(pii._pieces(pii.tokens(marked, 0, len(marked)), spans := [(17 * i, 3, 17 * i + 17 - 1) for i in range(60)]))
+    assert len(cases) > 4 and all(any(c[0] <= s and e <= c[-1] for c in cases) for s, _, e in spans)
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/", "<p>ü"), (2, None, "<p>ü"), (3, "http://a/\r\nX: y", None), (4, "u", ""), (5, "u", "z" * 300_000), (None, "u", "alone")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")

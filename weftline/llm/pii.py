@@ -11,7 +11,8 @@ spans are the truth and are shown with and without their tell-tale marks.
 Decoded segments that touch no base span are added to them.
 
 Zones are cut by linear scans, so one very long token costs no more than its
-length, and each zone is decoded in pieces of bounded size.
+length.  A zone of any length is decoded as a whole: scores are kept for the
+last ``LONGEST`` tokens only, and the way back in a few bytes a token.
 
 Defined results: a null or empty text has no spans; every input row gives one
 row, whatever its id; offsets are code points, the end exclusive.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens of a segment at most, and of a zone decoded at once.
+#: Tokens of a segment at most, and of a training case, which ends at the first place after them that no span covers.
 LONGEST = 15
 ZONE_TOKENS = 120
 #: Documents whose zones train the model: a documented bound.
@@ -172,8 +174,10 @@ class SemiMarkov:
         """The best segmentation: (first token, type, end token) of all segments."""
         w, n = self.weights.get, len(limits) - 1
         types = range(-1, len(KINDS))
-        best: list[dict[int, tuple[float, int, int]]] = [{-1: (0.0, 0, -1)}] + [{} for _ in range(n)]
+        best: dict[int, dict[int, float]] = {0: {-1: 0.0}}  # of the last tokens
+        back = bytearray(2 * len(types) * (n + 1))  # size and last type + 1, by token and type
         for end in range(1, n + 1):
+            best[end] = now = {}
             for size in range(1, min(LONGEST, end) + 1):
                 start = end - size
                 found = None
@@ -186,16 +190,19 @@ class SemiMarkov:
                         if found is None:
                             found = features(text, limits[start], limits[end])
                         own = w(f"{kind}|", 0.0) + sum(w(f"{kind}|{f}", 0.0) for f in found)
-                    for last, (total, _, _) in best[start].items():
+                    for last, total in best[start].items():
                         value = total + own + w(f"{last}>{kind}", 0.0)
-                        if kind not in best[end] or value > best[end][kind][0]:
-                            best[end][kind] = (value, start, last)
+                        if kind not in now or value > now[kind]:
+                            now[kind] = value
+                            cell = 2 * (len(types) * end + kind + 1)
+                            back[cell], back[cell + 1] = size, last + 1
+            best.pop(end - LONGEST, None)
         out, at = [], n
-        kind = max(best[n], key=lambda k: best[n][k][0])
+        kind = max(best[n], key=best[n].get)
         while at > 0:
-            _, start, last = best[at][kind]
-            out.append((start, kind, at))
-            at, kind = start, last
+            cell = 2 * (len(types) * at + kind + 1)
+            out.append((at - back[cell], kind, at))
+            at, kind = at - back[cell], back[cell + 1] - 1
         return out[::-1]
 
     @staticmethod
@@ -213,9 +220,16 @@ class SemiMarkov:
         return out
 
 
-def _cut(limits: list[int]) -> Iterator[list[int]]:
-    for at in range(0, len(limits) - 1, ZONE_TOKENS):
-        yield limits[at : at + ZONE_TOKENS + 1]
+def _pieces(limits: list[int], spans: list[tuple[int, int, int]]) -> Iterator[list[int]]:
+    """A zone's tokens in training cases, cut between spans only."""
+    inside = {x for s, _, e in spans for x in limits[bisect_right(limits, s) : bisect_left(limits, e)]}
+    at, n = 0, len(limits) - 1
+    while at < n:
+        end = min(at + ZONE_TOKENS, n)
+        while limits[end] in inside and end < n:
+            end += 1
+        yield limits[at : end + 1]
+        at = end
 
 
 def _truth(limits: list[int], spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]] | None:
@@ -252,7 +266,7 @@ def train(texts: list[str], passes: int = 4) -> SemiMarkov:
         for start, end in zones(text):
             inside = [x for x in spans if x[0] >= start and x[2] <= end]
             for t, s, e, own in _variants(text, start, end, inside):
-                for limits in _cut(tokens(t, s, e)):
+                for limits in _pieces(tokens(t, s, e), own):
                     truth = _truth(limits, [x for x in own if limits[0] <= x[0] and x[2] <= limits[-1]])
                     if truth is not None:
                         cases.append((t, limits, truth))
@@ -283,10 +297,10 @@ def find(text: str, model: SemiMarkov) -> tuple[list[tuple[int, int, int]], list
         own = [x for x in base if x[0] < end and x[2] > start]
         if sum(e - s for s, _, e in own) >= (end - start) - 2:
             continue  # nothing is left to add
-        for limits in _cut(tokens(text, start, end)):
-            for s, kind, e in model.decode(text, limits):
-                if kind >= 0 and not any(a < limits[e] and limits[s] < b for a, _, b in own):
-                    added.append((limits[s], kind, limits[e]))
+        limits = tokens(text, start, end)
+        for s, kind, e in model.decode(text, limits):
+            if kind >= 0 and not any(a < limits[e] and limits[s] < b for a, _, b in own):
+                added.append((limits[s], kind, limits[e]))
     return base, sorted([*base, *added])
 
 

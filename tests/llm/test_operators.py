@@ -198,6 +198,14 @@ def test_pii_long_zone():
     assert len(cases) > 4 and all(any(c[0] <= s and e <= c[-1] for c in cases) for s, _, e in spans)
 
 
+def test_pii_trains_on_all_texts():
+    """An early text with a long list of addresses doesn't hide the later ones."""
+    addresses = "\n".join(f"u{i}@b.c" for i in range(300))
+    card = "4111 1111 1111 1111"
+    model = pii.train([addresses, *[f"card {card} now"] * 5])
+    assert [k for _, k, _ in model.decode(card, pii.tokens(card, 0, len(card)))] == [2]
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/", "<p>ü"), (2, None, "<p>ü"), (3, "http://a/\r\nX: y", None), (4, "u", ""), (5, "u", "z" * 300_000), (None, "u", "alone")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -259,7 +259,7 @@ def _variants(text: str, start: int, end: int, spans: list[tuple[int, int, int]]
 
 
 def train(texts: list[str], passes: int = 4) -> SemiMarkov:
-    """An averaged structured perceptron over the zones of these texts."""
+    """An averaged structured perceptron over all zones of these texts."""
     cases = []
     for text in texts:
         spans = base_spans(text)
@@ -270,8 +270,6 @@ def train(texts: list[str], passes: int = 4) -> SemiMarkov:
                     truth = _truth(limits, [x for x in own if limits[0] <= x[0] and x[2] <= limits[-1]])
                     if truth is not None:
                         cases.append((t, limits, truth))
-        if len(cases) >= 600:
-            break
     model, total, step = SemiMarkov(), defaultdict(float), 1
     weights: dict[str, float] = defaultdict(float)
     model.weights = weights

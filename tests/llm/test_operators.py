@@ -234,6 +234,16 @@ def test_held_out(spark, run, label, least):
     assert _auc([tuple(r) for r in rows]) >= least
 
 
+def test_quality_buckets():
+    """Few of the trigrams of a long text share a bucket."""
+    import pyarrow as pa
+
+    text = words(40, 2000, 10**6)
+    trigrams = {text[i : i + 3] for i in range(len(text) - 2)}
+    used = int((quality.counts(pa.array([text]))[0] > 0).sum())
+    assert used > 0.9 * len(trigrams)
+
+
 def test_classifiers_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     model = toxicity.train(odd, none, remainder("doc_id", 5) != 0)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from weftline.llm import wordhash as wh
 from weftline.llm.labels import label_counts, remainder, training_ids
 
-BUCKETS = 1 << 12
+BUCKETS = 1 << 13
 #: Labelled rows that vote: a documented bound.
 MAX_LABELLED = 3000
 DIMS = 48
@@ -40,7 +40,7 @@ def counts(texts: pa.Array) -> np.ndarray:
         return out
     v = (wh._TABLE >> np.uint64(40)).astype(np.uint32)[data]
     h = (v[:-2] * np.uint32(0x9E3779B1)) ^ (v[1:-1] * np.uint32(0x85EBCA77)) ^ (v[2:] * np.uint32(0xC2B2AE3D))
-    h = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(20)).astype(np.int64)
+    h = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(19)).astype(np.int64)
     for i in range(len(texts)):
         a, b = int(at[i]), int(at[i + 1]) - 2
         if b > a:
@@ -49,8 +49,17 @@ def counts(texts: pa.Array) -> np.ndarray:
 
 
 def weighted(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(tf) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return _weigh(tf.copy(), idf)
+
+
+def _weigh(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """In place, as the training matrix is the largest thing on the driver."""
+    np.log1p(x, out=x)
+    x *= idf
+    for at in range(0, len(x), 256):
+        part = x[at : at + 256]
+        part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
+    return x
 
 
 @dataclass
@@ -125,8 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", i
     y = np.array([r.label for r in rows], np.float32)
     if not len(rows):
         return Space(idf, np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, 1), np.float32), np.zeros((0, 1), np.float32), y, prior, y)
-    x = weighted(tf, idf)
-    del tf, rows
+    del rows
+    x = _weigh(tf, idf)
     mean = x.mean(axis=0)
     x -= mean
     start = np.random.default_rng(11).standard_normal((BUCKETS, dims + 16)).astype(np.float32)

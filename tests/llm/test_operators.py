@@ -259,3 +259,12 @@ def test_secrets(spark):
     got = {(r.doc_id, r.number): r.is_secret for r in secrets.scan(df).collect()}
     assert got[1, 0] and not got[2, 0] and not got[3, 0] and not got[6, 0] and got[7, 1]
     assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_secrets_short(spark):
+    """Short values, and values with other signs, next to a secret word."""
+    texts = ["password = 'Tr0ub4dor&3' # mine", "token: 9f86d081884c7d65 now", 'the api_key "Zk3.q9Xw.81LmPv" of', "password = None", "the key to this is patience", "monkey = 'Tr0ub4dor&3'", 'token = "undefined"']
+    got = {r.doc_id: (r.candidate, r.is_secret) for r in secrets.scan(table(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert got == {0: ("Tr0ub4dor&3", True), 1: ("9f86d081884c7d65", True), 2: ("Zk3.q9Xw.81LmPv", True), 3: ("None", False), 6: ("undefined", False)}
+    both = spark.createDataFrame([("", "a" * 400 + "bcdef", "")], "before string, candidate string, after string")
+    assert secrets.with_features(both).first().f_distinct * 40 >= 6

@@ -1,7 +1,8 @@
 """Secret scanning with a random forest, with DataFrame and MLlib functions only.
 
 Candidates are all runs of 20 or more characters that keys and tokens are made
-of.  A random forest then tells secrets from the many other long strings.  Its
+of, and all values of 4 or more characters without blanks that are assigned to
+a secret word or stand in quotes after one.  A random forest then tells secrets from the many other long strings.  Its
 features are the candidate's length and alphabet, the transitions between
 character classes, how much of it dictionary pieces cover, path-like text in
 and around it, and the words next to it.  It is trained on labelled findings:
@@ -25,6 +26,13 @@ from pyspark.sql import functions as F
 
 _RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 CONTEXT = 40
+_SECRET_WORDS = "key token secret password passwd pwd api auth credential bearer private access signing"
+#: A value after a secret word (and the rest of its name): assigned, in quotes, or after "bearer".  The short look back comes first, as it is cheap.
+_VALUE = (
+    r"(?<=[=:\"'`rR]\s{0,3})(?<=(?<![A-Za-z])(?i:" + "|".join(_SECRET_WORDS.split()) + r")(?![A-Za-z])(?:[0-9_-][A-Za-z0-9_-]{0,16})?[\"'`]?\s{0,3}(?:[=:]>?\s{0,3}[\"'`]?|[\"'`])|(?i:bearer)\s{1,3})"
+    r"[^\s\"'`=:,;)\]}][^\s\"'`]{2,}[^\s\"'`.,;:)\]}>]"
+)
+_FOUND = f"{_RUN}|{_VALUE}"
 
 #: Pieces of ordinary words and identifiers.
 _PIECES = (
@@ -33,7 +41,6 @@ _PIECES = (
     "error message request response server client service system process example sample default version module "
     "ung heit keit lich isch sch ein eau elle oire ique ción dad mente ado ido"
 ).split()
-_SECRET_WORDS = "key token secret password passwd pwd api auth credential bearer private access signing"
 _OTHER_WORDS = "commit sha sha1 sha256 md5 hash checksum digest uuid guid etag revision id integrity example sample dummy placeholder test fixture"
 
 
@@ -57,7 +64,7 @@ def with_features(findings: DataFrame) -> DataFrame:
         "f_hex": _without(c, "[0-9a-f]") / n,
         "f_signs": _without(c, "[+/_=-]") / n,
         "f_changes": changes / n,
-        "f_distinct": F.size(F.array_distinct(F.split(F.substring(c, 1, 400), ""))) / F.least(n, F.lit(40.0)),
+        "f_distinct": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(40.0)),
         "f_vowels": _without(c, "[aeiouAEIOU]") / n,
         "f_dictionary": _without(F.lower(c), "(" + "|".join(sorted(_PIECES, key=lambda p: (-len(p), p))) + ")") / n,
         "f_repeats": _without(c, r"(.)\1{2,}") / n,
@@ -86,17 +93,21 @@ def labelled_findings(spark: SparkSession, rows: int = 2400) -> DataFrame:
     piece = lambda i: pick(_PIECES, f"p{i}")
     words = F.concat(*(piece(i) for i in range(7)), F.lit("able"))
     secret = [F.substring(h, 1, 40), F.substring(h, 1, 32), h, b64, F.concat(F.lit("sk_live_"), F.substring(b64, 1, 24)), F.concat(F.lit("AKIA"), F.upper(F.substring(h, 1, 16)))]
+    secret += [F.substring(h, 1, 16), F.concat(F.initcap(piece(1)), F.substring(h, 1, 2), piece(2), pick("& ! # $ % @ .".split(), "sign"), F.substring(h, 3, 2)), F.concat_ws(".", F.substring(b64, 1, 7), F.substring(b64, 8, 6), F.substring(b64, 14, 9))]
     other = [words, F.concat(piece(1), F.lit("_"), piece(2), F.lit("_"), piece(3), F.lit("_value_"), piece(4), F.lit("_name")), F.concat(F.lit("/usr/"), piece(1), F.lit("/"), piece(2), F.lit("/data/"), words), F.substring(h, 1, 40), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)), F.rpad(F.lit("x"), 28, "x"), F.lit("=" * 30), F.lit("-" * 40), F.concat(words, F.lit("-"), words), F.concat(F.lit("your-api-key-"), words)]
+    #: What else is assigned to a secret word: fixed values, words, names, places to fill in.
+    named = [pick("true false null none None undefined string required optional example changeme invalid expired".split(), "v"), F.concat(piece(1), piece(2)), F.concat(F.lit("config."), piece(1), F.lit("_"), piece(2)), F.concat(F.lit("<"), piece(1), F.lit("-"), piece(2)), F.concat(F.lit("${"), piece(1), F.lit("_"), piece(2))]
+    other += named
     kind = F.pmod(F.floor(F.col("id") / 2), F.lit(len(other)))
     is_secret = F.pmod("id", F.lit(2)) == 0
     candidate = F.element_at(F.array(*other), (kind + 1).cast("int"))
-    digest = kind.isin(3, 4)
+    digest, assigned = kind.isin(3, 4), kind >= len(other) - len(named)
     secret_before = [' token = "', "api_key: '", 'SECRET_KEY="', " password=", "Authorization: Bearer ", ' auth "', "private key "]
     digest_before = ["commit ", " sha1 = ", "checksum: ", ' id="', "uuid ", "etag: "]
     plain_before = [" ", ". ", "of the ", ' href="', "see src/", "tests/fixtures/", ' name = "', "\n"]
     closes = lambda b: F.when(F.col("before").endswith(b), F.lit(b)).otherwise(F.lit(" "))
     out = spark.range(rows).select(
-        F.when(is_secret, pick(secret_before, "s")).when(digest, pick(digest_before, "d")).otherwise(pick(plain_before, "n")).alias("before"),
+        F.when(is_secret | assigned, pick(secret_before, "s")).when(digest, pick(digest_before, "d")).otherwise(pick(plain_before, "n")).alias("before"),
         F.when(is_secret, F.element_at(F.array(*secret), (F.pmod(F.floor(F.col("id") / 2), F.lit(len(secret))) + 1).cast("int"))).otherwise(candidate).alias("candidate"),
         is_secret.cast("double").alias("label"),
         F.concat(pick(_PIECES, "w1"), F.lit(" "), pick(_PIECES, "w2")).alias("lead"),
@@ -112,8 +123,8 @@ def train(findings: DataFrame, trees: int = 40, depth: int = 8, seed: int = 5) -
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per candidate: id, number, before, candidate, after."""
     text = F.col("__text")
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("__text")).where(text.rlike(_RUN))
-    rows = rows.select(id_col, F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)).alias("found"), F.split(text, _RUN, -1).alias("between"))
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("__text")).where(text.rlike(_FOUND))
+    rows = rows.select(id_col, F.regexp_extract_all(text, F.lit(_FOUND), F.lit(0)).alias("found"), F.split(text, _FOUND, -1).alias("between"))
     between = F.transform("between", lambda x: F.struct(F.right(x, F.lit(CONTEXT)).alias("before"), F.substring(x, 1, CONTEXT).alias("after")))
     each = F.arrays_zip(F.col("found"), F.slice(between, 1, F.size("found")).alias("b"), F.slice(between, 2, F.size("found")).alias("a"))
     rows = rows.select(id_col, F.posexplode(each).alias("number", "x"))

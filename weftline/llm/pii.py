@@ -1,4 +1,4 @@
-"""Personal data by fixed patterns plus a semi-Markov conditional random field.
+"""Personal data by fixed patterns plus a semi-Markov model, fitted as a perceptron.
 
 Four fixed patterns give the base spans.  Around anything that could be
 personal data (a run of digits and their punctuation, a word with an at sign,

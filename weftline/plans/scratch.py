@@ -5,12 +5,17 @@ and reads it back.  That cuts the lineage (a lost executor costs a re-read, not
 a recomputation of everything above), gives the optimizer real sizes, and puts
 a plain scan on both sides of the joins that follow, which is what adaptive
 execution needs in order to split skewed partitions.
+
+``Scratch.drop`` deletes tables that later ones have replaced.  What a result
+still reads stays until the driver ends, which deletes the run's folder.
 """
 
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not sc.master.startswith("local"):
+    if not re.match(r"local($|\[)", sc.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = f"file://{tempfile.gettempdir()}/weftline-shared"
     sc.setCheckpointDir(folder)
@@ -36,6 +41,23 @@ def shared_dir(spark: SparkSession) -> str:
 #: Rows in an Arrow batch while intermediate tables are written: texts are long, and each task holds some batches.
 ARROW_ROWS = 1000
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_lock = threading.Lock()
+_writing: dict[str, list] = {}  # by session: writes that are going on, and the setting before them
+
+
+def _small_batches(spark: SparkSession, more: int) -> None:
+    """Small Arrow batches from the first of some writes at once to the end of the last."""
+    name = str(id(spark))
+    with _lock:
+        if more > 0:
+            if name not in _writing:
+                _writing[name] = [0, before := spark.conf.get(_ARROW)]
+                spark.conf.set(_ARROW, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+            _writing[name][0] += 1
+        else:
+            _writing[name][0] -= 1
+            if not _writing[name][0]:
+                spark.conf.set(_ARROW, _writing.pop(name)[1])
 
 
 class Scratch:
@@ -45,6 +67,14 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+        path = self._path(self.root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(name)
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -52,13 +82,21 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a DataFrame that reads what was written."""
-        at, before = self.path(name), self.spark.conf.get(_ARROW)
-        self.spark.conf.set(_ARROW, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+        at = self.path(name)
+        _small_batches(self.spark, 1)
         try:
             df.write.parquet(at)
         finally:
-            self.spark.conf.set(_ARROW, before)
-        return self.spark.read.schema(df.schema).parquet(at)
+            _small_batches(self.spark, -1)
+        out = self.spark.read.schema(df.schema).parquet(at)
+        self.paths[id(out)] = out, at
+        return out
+
+    def drop(self, *kept: DataFrame) -> None:
+        """Delete tables of this run that nothing reads any more."""
+        for df in kept:
+            path = self._path(self.paths.pop(id(df))[1])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def settle(self) -> None:
         """Let Spark drop the shuffle files of phases whose output is written.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,3 +110,13 @@ def geodesic_km(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
     big_b = u / 1024 * (256 + u * (u * (74 - 47 * u) - 128))
     delta = big_b * s * (mid + big_b / 4 * (c * (2 * mid**2 - 1) - big_b / 6 * mid * (4 * s**2 - 3) * (4 * mid**2 - 3)))
     return b * big_a * (sigma - delta)
+
+
+def geodesic(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """``geodesic_km`` of columns, in Arrow batches; for tables of distinct places."""
+
+    @F.pandas_udf("double")
+    def km(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([geodesic_km(*x) for x in zip(a, b, c, d, strict=True)], dtype="float64")
+
+    return km(lat1, lon1, lat2, lon2)

@@ -52,9 +52,14 @@ def base_language(lang: Column) -> Column:
     return F.split(lang, "_")[0]
 
 
-def translation_ratio(lang: Column) -> Column:
-    pairs = [x for k, v in TRANSLATION_RATIO.items() for x in (F.lit(k), F.lit(v))]
-    return F.coalesce(F.create_map(*pairs)[base_language(lang)], F.lit(1.0))
+def translation_ratio(lang: Column, compat: bool = False) -> Column:
+    """The ratio as an exact decimal, so that 110 tokens are enough in French.
+
+    ``compat``: as a float, where 100 * 1.1 is a little more than 110.
+    """
+    exact = lambda v: F.lit(v) if compat else F.lit(v).cast("decimal(5,2)")
+    pairs = [x for k, v in TRANSLATION_RATIO.items() for x in (F.lit(k), exact(v))]
+    return F.coalesce(F.create_map(*pairs)[base_language(lang)], exact(1.0))
 
 
 def entity_engine(lang: Column) -> Column:

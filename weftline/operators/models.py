@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import VectorAssembler
@@ -16,11 +18,13 @@ def assembled(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 
 def ols(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """Coefficients with p values, and the fit: one row per term."""
+    """Coefficients with p values, and the fit's R2, adjusted R2 and AIC: one row per term."""
     fit = LinearRegression(solver="normal").fit(assembled(df, features, label))
     s = fit.summary
     terms = zip([*features, "intercept"], [*map(float, fit.coefficients), float(fit.intercept)], map(float, s.pValues), strict=True)
-    return df.sparkSession.createDataFrame([(*t, float(s.r2), int(s.numInstances)) for t in terms], "term string, coefficient double, p double, r2 double, n long")
+    n, k = int(s.numInstances), len(features) + 1
+    aic = n * math.log(2 * math.pi * s.meanSquaredError) + n + 2 * k
+    return df.sparkSession.createDataFrame([(*t, float(s.r2), float(s.r2adj), aic, n) for t in terms], "term string, coefficient double, p double, r2 double, r2_adjusted double, aic double, n long")
 
 
 def gram(df: DataFrame, features: list[str], label: str) -> tuple[np.ndarray, int]:

@@ -5,42 +5,58 @@ from __future__ import annotations
 import functools
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.plans.scratch import Scratch
+
 
 def group_stats(df: DataFrame, keys: list[str], value: str = "sim") -> DataFrame:
     """Mean, count and standard error of the mean."""
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("sem"))
 
 
+def t_tail(t: float, df: float) -> float:
+    """The upper tail of Student's t, by the incomplete beta function's continued fraction."""
+    a, b, x = df / 2, 0.5, df / (df + t * t)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
+    flip = x >= (a + 1) / (a + b + 2)
+    if flip:
+        a, b, x = b, a, 1 - x
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    h = d
+    for m in range(1, 300):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + num * d), 1 + num / c
+            h *= d * c
+    value = front * h / a
+    return (1 - value if flip else value) / 2
+
+
 @functools.lru_cache(maxsize=4096)
 def _quantile(df: int, p: float) -> float:
-    """Student's t quantile by bisection on the incomplete beta function's continued fraction."""
-
-    def tail(t: float) -> float:
-        a, b, x = df / 2, 0.5, df / (df + t * t)
-        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
-        flip = x >= (a + 1) / (a + b + 2)
-        if flip:
-            a, b, x = b, a, 1 - x
-        c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
-        h = d
-        for m in range(1, 300):
-            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d, c = 1 / (1 + num * d), 1 + num / c
-                h *= d * c
-        value = front * h / a
-        return (1 - value if flip else value) / 2
-
+    """Student's t quantile by bisection on the tail."""
     lo, hi = 0.0, 1e3
     for _ in range(100):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if tail(mid) > 1 - p else (lo, mid)
+        lo, hi = (mid, hi) if t_tail(mid, df) > 1 - p else (lo, mid)
     return hi
 
 
+def with_p_value(rows: DataFrame, r: str = "r", n: str = "n") -> DataFrame:
+    """Add ``p``, the two-sided p value of a correlation of ``n`` pairs; null for fewer than three."""
+    t = F.abs(r) * F.sqrt((F.col(n) - 2) / (1 - F.col(r) * F.col(r)))
+
+    @F.pandas_udf("double")  # a row for each group
+    def two_sided(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([2 * t_tail(x, k - 2) if k > 2 and not math.isnan(x) else None for x, k in zip(t, n, strict=True)], dtype="float64")
+
+    exact = F.abs(r) >= 1
+    return rows.withColumn("p", F.when(F.col(n) > 2, F.when(exact, 0.0).otherwise(two_sided(t, F.col(n).cast("double")))))
+
+
 def t_quantiles(spark: SparkSession, most: int = 200, p: float = 0.975) -> DataFrame:
     """Student's t quantiles for 1 to ``most`` degrees of freedom."""
     return spark.createDataFrame([(i, _quantile(i, p)) for i in range(1, most + 1)], "df int, t double")
@@ -66,7 +82,20 @@ def pair_population(counts: DataFrame, n: str = "n") -> DataFrame:
 
 
 def average_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Add the mean rank of equal values inside each group, ranked over distinct values."""
+    """Add the mean rank of equal values inside each group, ranked over distinct values.
+
+    Without groups, values are dealt out by range, and a range's ranks start
+    after the rows of those before it, so no task sorts all values.
+    """
+    if not by:
+        scratch = Scratch(df.sparkSession, "ranks")
+        sizes = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n")).repartitionByRange(value).withColumn("__part", F.spark_partition_id())
+        sizes = scratch.keep(sizes, "sizes")
+        before = F.sum("__m").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))  # a row for each partition
+        parts = sizes.groupBy("__part").agg(F.sum("__n").alias("__m")).select("__part", F.coalesce(before, F.lit(0)).alias("__base"))
+        below = F.sum("__n").over(W.partitionBy("__part").orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+        ranks = sizes.join(F.broadcast(parts), "__part").select(value, (F.col("__base") + F.coalesce(below, F.lit(0)) + (F.col("__n") + 1) / 2).alias(f"{value}_rank"))
+        return df.join(ranks, value)
     sizes = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
     below = F.sum("__n").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1))
     ranks = sizes.withColumn(f"{value}_rank", F.coalesce(below, F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n")
@@ -136,5 +165,5 @@ def binary_metrics(df: DataFrame, label: str, predicted: str, score: str) -> Dat
         (2 * tp / F.nullif(2 * tp + fp + fn, F.lit(0))).alias("f1"), ((tp + tn) / (tp + fp + fn + tn)).alias("accuracy"),
         ((tp * tn - fp * fn) / F.nullif(F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), F.lit(0))).alias("mcc"),
     )
-    auc = superiority(df.withColumn("__all", F.lit(1)), ["__all"], label, score).select(F.col("p").alias("auc"))
+    auc = superiority(df, [], label, score).select(F.col("p").alias("auc"))
     return out.crossJoin(auc)  # one row each

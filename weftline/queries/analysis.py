@@ -12,11 +12,12 @@ from weftline.operators import network as N
 from weftline.operators import stats as ST
 from weftline.operators.articles import first_wins
 from weftline.operators.components import components
+from weftline.operators.outlets import matched
 from weftline.operators.pairs import top_per
 from weftline.queries.linking import EMB, docs, scored
 from weftline.queries.scalars import GEO, geo
 from weftline.registry import query
-from weftline.sources.tables import pending, table
+from weftline.sources.tables import table
 
 #: Pairs of countries: an item's customer and supplier nations, with a similarity and two days.
 PAIRS = """x AS (SELECT l_orderkey AS k, l_linenumber AS line, c_nationkey AS c1, s_nationkey AS c2, o_custkey AS media1, l_suppkey AS media2, 1 + 30 * l_discount AS sim,
@@ -89,9 +90,7 @@ def outlet_match(spark, sf):
     pages = table(spark, sf, "pages")
     outlets = pages.groupBy(F.split(bare, r"\.")[0].alias("name")).agg(F.min("page_id").alias("first")).where("length(name) > 0")
     urls = pages.select("page_id", F.replace(bare, F.lit("www."), F.lit("")).alias("u"))
-    # Outlets are a dimension; the optimizer broadcasts them where they are small.
-    met = urls.join(outlets, F.col("u").contains(F.col("name")) | F.col("name").contains(F.col("u")))
-    return first_wins(met, ["page_id"], [F.col("first")]).select("page_id", F.col("name").alias("outlet"))
+    return matched(urls, "page_id", "u", outlets, "name", ["first"]).select("page_id", F.col("name").alias("outlet"))
 
 
 @query("q_enrich_pairs", f"WITH {PAIRS}, {REGION}, {INDEX} SELECT k, line, a.g AS g1, b.g AS g2, round(p.idx, 6) AS idx1, round(q.idx, 6) AS idx2 FROM x LEFT JOIN r a ON a.c = c1 LEFT JOIN r b ON b.c = c2 LEFT JOIN i p ON p.c = c1 LEFT JOIN i q ON q.c = c2")
@@ -131,18 +130,6 @@ def inner_merge(spark, sf):
     return n.join(r, n.n_regionkey == r.r_regionkey).select("n_name", "r_name")
 
 
-@query("q_source_merge", "WITH a AS (SELECT s_nationkey AS link, 'a' AS origin FROM supplier WHERE s_suppkey < 10), b AS (SELECT c_nationkey AS link, 'b' AS origin FROM customer WHERE c_custkey < 20), c AS (SELECT n_nationkey AS link, 'c' AS origin FROM nation), ab AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE link NOT IN (SELECT link FROM a)) SELECT * FROM ab UNION ALL SELECT * FROM c WHERE link NOT IN (SELECT link FROM ab)")
-def source_merge(spark, sf):
-    """Sources in order of precedence: each adds the links that none before it has."""
-    out = table(spark, sf, "supplier").where("s_suppkey < 10").select(F.col("s_nationkey").alias("link"), F.lit("a").alias("origin"))
-    for more in (
-        table(spark, sf, "customer").where("c_custkey < 20").select(F.col("c_nationkey").alias("link"), F.lit("b").alias("origin")),
-        table(spark, sf, "nation").select(F.col("n_nationkey").alias("link"), F.lit("c").alias("origin")),
-    ):
-        out = out.unionByName(pending(more, out.select("link").distinct(), "link"))
-    return out
-
-
 @query("q_wiki_merge", "WITH t AS (SELECT p_partkey, p_name, unnest([p_brand, p_type]) AS page FROM part), v AS (SELECT p_brand AS title, max(p_size) AS views FROM part GROUP BY 1) SELECT p_partkey, page, views FROM t JOIN v ON replace(page, ' ', '_') = replace(title, ' ', '_')")
 def wiki_merge(spark, sf):
     """A map from language to page name, exploded and joined with the pages' views."""
@@ -402,7 +389,9 @@ def top_clusters_month(spark, sf):
 
 @query("q_group_total", "SELECT o_orderkey, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_orderstatus), 9) AS share FROM orders")
 def group_total(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / F.sum("o_totalprice").over(W.partitionBy("o_orderstatus")), 9).alias("share"))
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    totals = rows.groupBy("o_orderstatus").agg(F.sum("o_totalprice").alias("total"))  # a few rows
+    return rows.join(totals, "o_orderstatus").select("o_orderkey", F.round(F.col("o_totalprice") / F.col("total"), 9).alias("share"))
 
 
 @query("q_top_edges", f"WITH {PAIRS}, {COUNTRY_PAIRS} SELECT c1, c2, n FROM cp WHERE c1 < c2 ORDER BY n DESC, c1, c2 LIMIT 80")

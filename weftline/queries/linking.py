@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as X
 from weftline.operators import articles as A
+from weftline.operators import candidates as C
 from weftline.operators import pairs as P
 from weftline.operators import weights as WT
+from weftline.plans.scratch import Scratch
 from weftline.queries.scalars import TOKENS
 from weftline.registry import query
 from weftline.sources.tables import table
@@ -36,19 +38,26 @@ def bag(spark, sf):
     return A.entity_bag(docs(spark, sf))
 
 
-def weighted(spark, sf):
-    b = bag(spark, sf)
+def kept_bag(spark, sf):
+    """The entity bag, written once for queries that use it several times."""
+    return Scratch(spark, "linking").keep(bag(spark, sf), "bag")
+
+
+def weighted(spark, sf, b=None):
+    b = bag(spark, sf) if b is None else b
     return WT.tf_idf(b, WT.smoothed_idf(b, docs(spark, sf)))
 
 
-def pairs(spark, sf):
-    top = WT.top_ties(weighted(spark, sf), 10)
-    stop = A.top_entities(bag(spark, sf), 50).select("ne")
+def pairs(spark, sf, b=None):
+    b = kept_bag(spark, sf) if b is None else b
+    top = WT.top_ties(weighted(spark, sf, b), 10)
+    stop = A.top_entities(b, 50).select("ne")
     return P.shared_entity_pairs(top.join(F.broadcast(stop), "ne", "left_anti"))  # 50 rows
 
 
-def sims(spark, sf):
-    found = P.beside(pairs(spark, sf), P.entity_sets(bag(spark, sf)), ["lang", "vec", "nes"])
+def sims(spark, sf, b=None):
+    b = kept_bag(spark, sf) if b is None else b
+    found = P.beside(pairs(spark, sf, b), P.entity_sets(b), ["lang", "vec", "nes"])
     return found.withColumn("jac", P.jaccard(F.col("nes1"), F.col("nes2"))).withColumn("both", F.size(F.array_intersect("nes1", "nes2")))
 
 
@@ -161,8 +170,9 @@ def sparse_cosine(spark, sf):
 @query("q_text_jaccard", f"""WITH {SETS}, {MULTI}, f AS (SELECT doc1, doc2 FROM sims WHERE both_ >= 3), m AS (SELECT doc1, doc2, sum(least(a.c, b.c)) AS both_ FROM f JOIN tc a ON a.doc_id = doc1 JOIN tc b ON b.doc_id = doc2 AND a.w = b.w GROUP BY ALL)
     SELECT f.doc1, f.doc2, round(coalesce(both_, 0) / (x.n + y.n - coalesce(both_, 0)), 6) AS jaccard FROM f LEFT JOIN m USING (doc1, doc2) JOIN tn x ON x.doc_id = doc1 JOIN tn y ON y.doc_id = doc2""")
 def text_jaccard(spark, sf):
-    found = P.beside(sims(spark, sf).where("both >= 3").select("doc1", "doc2"), P.numbered_tokens(docs(spark, sf)), ["occ"])
-    return found.select("doc1", "doc2", r6(P.jaccard(F.col("occ1"), F.col("occ2")), "jaccard"))
+    scratch = Scratch(spark, "texts")
+    found = scratch.keep(sims(spark, sf).where("both >= 3").select("doc1", "doc2"), "pairs")
+    return C.text_alike(found, docs(spark, sf), scratch).select("doc1", "doc2", r6(F.col("alike"), "jaccard"))
 
 
 @query("q_text_set_jaccard", f"""WITH {SETS}, {MULTI}, f AS (SELECT doc1, doc2 FROM sims WHERE both_ >= 3), u AS (SELECT doc_id, count(*) AS n FROM tc GROUP BY ALL), m AS (SELECT doc1, doc2, count(*) AS both_ FROM f JOIN tc a ON a.doc_id = doc1 JOIN tc b ON b.doc_id = doc2 AND a.w = b.w GROUP BY ALL)
@@ -184,14 +194,14 @@ SHARED = "SELECT doc1, doc2, a.ne, (a.cnt + b.cnt) / (x.total + y.total) AS tf,
 
 @query("q_shared_tfidf", f"WITH {PAIRS}, t AS (SELECT doc_id, sum(cnt) AS total FROM bag GROUP BY doc_id) SELECT doc1, doc2, round(sum(tf * idf), 5) AS shared, count(*) AS n_shared FROM ({SHARED}) GROUP BY ALL")
 def shared_tfidf(spark, sf):
-    b = bag(spark, sf)
-    return WT.shared_weight(pairs(spark, sf), b, WT.smoothed_idf(b, docs(spark, sf))).select("doc1", "doc2", F.round("shared", 5).alias("shared"), "n_shared")
+    b = kept_bag(spark, sf)
+    return WT.shared_weight(pairs(spark, sf, b), b, WT.smoothed_idf(b, docs(spark, sf))).select("doc1", "doc2", F.round("shared", 5).alias("shared"), "n_shared")
 
 
 @query("q_shared_bm25", f"WITH {PAIRS}, t AS (SELECT doc_id, sum(cnt) AS total FROM bag GROUP BY doc_id), m AS (SELECT avg(total) AS mean FROM t) SELECT doc1, doc2, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 5) AS shared FROM ({SHARED}), m GROUP BY ALL")
 def shared_bm25(spark, sf):
-    b = bag(spark, sf)
-    return WT.shared_weight(pairs(spark, sf), b, WT.smoothed_idf(b, docs(spark, sf)), "bm25").select("doc1", "doc2", F.round("shared", 5).alias("shared"))
+    b = kept_bag(spark, sf)
+    return WT.shared_weight(pairs(spark, sf, b), b, WT.smoothed_idf(b, docs(spark, sf)), "bm25").select("doc1", "doc2", F.round("shared", 5).alias("shared"))
 
 
 @query("q_candidates_intra", f"WITH {SETS} SELECT doc1, doc2, round(jac, 6) AS jaccard FROM sims WHERE lang1 = lang2 AND jac >= 0.3")
@@ -234,11 +244,11 @@ FILTERED = f"""{SETS}, {MULTI}, near AS (SELECT doc1, doc2, lang1, lang2, both_,
     judged AS (SELECT near.*, CASE WHEN lang1 = lang2 THEN coalesce(common, 0) / (x.n + y.n - coalesce(common, 0)) ELSE 0 END AS alike FROM near LEFT JOIN m USING (doc1, doc2) JOIN tn x ON x.doc_id = doc1 JOIN tn y ON y.doc_id = doc2)"""
 
 
-def judged(spark, sf):
+def judged(spark, sf, b=None):
+    scratch = Scratch(spark, "judged")
     limit = F.when(F.col("lang1") == F.col("lang2"), 0.3).otherwise(0.2)
-    near = sims(spark, sf).where(F.col("jac") >= limit).select("doc1", "doc2", "lang1", "lang2", "both", "jac")
-    found = P.beside(near, P.numbered_tokens(docs(spark, sf)), ["occ"])
-    return found.withColumn("alike", F.when(F.col("lang1") == F.col("lang2"), P.jaccard(F.col("occ1"), F.col("occ2"))).otherwise(0.0))
+    near = scratch.keep(sims(spark, sf, b).where(F.col("jac") >= limit).select("doc1", "doc2", "lang1", "lang2", "both", "jac"), "near")
+    return C.text_alike(near, docs(spark, sf), scratch).withColumn("alike", F.when(F.col("lang1") == F.col("lang2"), F.col("alike")).otherwise(0.0))
 
 
 @query("q_pair_filter", f"WITH {FILTERED} SELECT doc1, doc2, both_::INT AS n_shared, round(jac, 6) AS jaccard FROM judged WHERE alike <= 0.25")
@@ -252,8 +262,8 @@ REFINED = rf"""{FILTERED}, t AS (SELECT doc_id, sum(cnt) AS total FROM bag GROUP
 
 
 def refined(spark, sf):
-    b = bag(spark, sf)
-    kept = judged(spark, sf).where("both >= 5").select("doc1", "doc2", "lang1", "lang2", "alike")
+    b = kept_bag(spark, sf)
+    kept = judged(spark, sf, b).where("both >= 5").select("doc1", "doc2", "lang1", "lang2", "alike")
     shared = WT.shared_weight(kept.select("doc1", "doc2"), b, WT.smoothed_idf(b, docs(spark, sf)))
     found = P.beside(kept.join(shared, ["doc1", "doc2"]), docs(spark, sf).select("doc_id", X.sentences(F.col("text"), F.col("lang")).alias("st")), ["st"])
     return found.withColumn("dup", (F.col("lang1") == F.col("lang2")) & (F.col("alike") > 0.25) & F.arrays_overlap("st1", "st2"))

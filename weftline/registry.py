@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
 #: Modules that register queries when imported.
-MODULES: tuple[str, ...] = ("scalars", "linking", "analysis")
+MODULES: tuple[str, ...] = ("scalars", "linking", "matching", "analysis", "reports")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:

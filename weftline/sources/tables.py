@@ -51,3 +51,46 @@ def pending(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def write_edges(pairs: DataFrame, path: str, a: str = "doc1", b: str = "doc2", weight: str = "similarity") -> None:
     """A weighted edge list as tab-separated text, as graph clustering programs read it."""
     pairs.select(a, b, weight).write.option("sep", "\t").csv(path)
+
+
+def write_index(bag: DataFrame, path: str) -> None:
+    """An article index as tab-separated text: doc_id, lang, day and the entity bag as JSON."""
+    vec = F.to_json(F.sort_array(F.collect_list(F.struct("ne", "cnt"))))  # a document's own entities
+    bag.groupBy("doc_id", "lang", "day").agg(vec.alias("vec")).write.option("sep", "\t").option("quote", "").option("escape", "").csv(path, compression="gzip")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.schema("doc_id long, lang string, day int, vec string").option("sep", "\t").option("quote", "").option("escape", "").csv(path)
+    return rows.withColumn("vec", F.from_json("vec", "array<struct<ne: string, cnt: bigint>>"))
+
+
+def write_collection(rows: DataFrame, path: str) -> None:
+    rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+def write_postings(bag: DataFrame, path: str) -> None:
+    """The inverted index, a line for each posting, sorted by entity; a frequent entity takes several files."""
+    bag.select("ne", "doc_id", "day", "lang").repartitionByRange("ne", "doc_id").sortWithinPartitions("ne", "doc_id").write.option("sep", "\t").csv(path, compression="gzip")
+
+
+def read_postings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("ne string, doc_id long, day int, lang string").option("sep", "\t").csv(path)
+
+
+def write_dict(rows: DataFrame, key: str, value: str, path: str) -> None:
+    """One JSON dictionary of a small table, such as one of countries."""
+    pairs = F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), F.col(value))))
+    rows.agg(F.to_json(pairs).alias("value")).coalesce(1).write.text(path)
+
+
+def read_dict(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.text(path).select(F.explode(F.from_json("value", f"map<string, {kind}>")).alias("key", "value"))
+
+
+def write_arrays(rows: DataFrame, keys: list[str], path: str) -> None:
+    """A JSON array for each group of rows, an array a line."""
+    rows.groupBy(*keys).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).select("value").write.text(path)
+
+
+def read_arrays(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)

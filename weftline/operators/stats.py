@@ -47,13 +47,13 @@ def _quantile(df: int, p: float) -> float:
 
 def with_p_value(rows: DataFrame, r: str = "r", n: str = "n") -> DataFrame:
     """Add ``p``, the two-sided p value of a correlation of ``n`` pairs; null for fewer than three."""
-    t = F.abs(r) * F.sqrt((F.col(n) - 2) / (1 - F.col(r) * F.col(r)))
+    t = F.abs(r) * F.sqrt((F.col(n) - 2) / F.nullif(1 - F.col(r) * F.col(r), F.lit(0.0)))
 
     @F.pandas_udf("double")  # a row for each group
     def two_sided(t: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([2 * t_tail(x, k - 2) if k > 2 and not math.isnan(x) else None for x, k in zip(t, n, strict=True)], dtype="float64")
 
-    exact = F.abs(r) >= 1
+    exact = F.abs(r) >= 1  # t is null
     return rows.withColumn("p", F.when(F.col(n) > 2, F.when(exact, 0.0).otherwise(two_sided(t, F.col(n).cast("double")))))
 
 

@@ -1,12 +1,15 @@
 """Vectorised word splitting and hashing of Arrow string columns.
 
 Works on the UTF-8 bytes of a whole Arrow batch: a byte table says which bytes
-belong to words and how they are folded, and a polynomial prefix sum modulo
-2**64 gives every word's hash without a Python object for each word.
+belong to words and how they are folded, and polynomial prefix sums give every
+word's hash without a Python object for each word.  There are two, modulo 2**64
+and modulo a prime, as long words that share the first can be built on purpose.
+The hashes are for finding candidates; what must be equal is compared as words.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,12 +18,17 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 U64 = np.uint64
+_libc = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 _TABLE = np.random.default_rng(73_019).integers(1, 2**64 - 1, 256, dtype=U64)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
-#: Bytes hashed at a time; the work arrays take about 32 bytes for each.
-PIECE = 1 << 20
+#: Bytes hashed at a time; the work arrays and the tables of powers, which workers keep, take about 64 bytes for each.
+PIECE = 1 << 18
 _powers: dict[int, np.ndarray] = {}
+#: The second polynomial's modulus, base and byte values.
+_PRIME = 2**31 - 1
+_BASE2 = 1_220_703_125
+_TABLE2 = np.random.default_rng(51_487).integers(1, _PRIME, 256, dtype=U64)
 
 
 @dataclass(frozen=True)
@@ -77,6 +85,25 @@ def _power(base: int, n: int) -> np.ndarray:
     return have
 
 
+def _prime_power(base: int, n: int) -> np.ndarray:
+    """``base`` to the powers 0 to n - 1 modulo the prime."""
+    have = _powers.get(-base, np.ones(1, U64))
+    while len(have) < n:
+        have = np.concatenate([have, have * U64(pow(base, len(have), _PRIME)) % U64(_PRIME)])
+    if len(have) <= 2 * PIECE:
+        _powers[-base] = have
+    return have
+
+
+def _prime_hashes(data: np.ndarray, table: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The second polynomial of the words that lie at these places of ``data``."""
+    n = len(data)
+    value = table[data] * _prime_power(_BASE2, n)[:n]
+    sums = np.zeros(n + 1, U64)
+    np.cumsum((value & U64(_PRIME)) + (value >> U64(31)), out=sums[1:])  # below 2**32 each
+    return (sums[end] - sums[start]) % U64(_PRIME) * _prime_power(pow(_BASE2, -1, _PRIME), n)[start] % U64(_PRIME)
+
+
 @dataclass
 class Batch:
     """Words of a batch: byte limits, hashes, and the first word of each document."""
@@ -123,7 +150,7 @@ def split(col: pa.Array, words: Words) -> Batch:
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | edge[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    table = _TABLE[words.fold]
+    table, table2 = _TABLE[words.fold], _TABLE2[words.fold]
     out = np.empty(len(start), U64)
     i = 0
     while i < len(start):
@@ -131,7 +158,8 @@ def split(col: pa.Array, words: Words) -> Batch:
         lo, hi = int(start[i]), int(end[j - 1])
         sums = np.zeros(hi - lo + 1, U64)
         np.cumsum(table[data[lo:hi]] * _power(_BASE, hi - lo)[: hi - lo], out=sums[1:])
-        out[i:j] = (sums[end[i:j] - lo] - sums[start[i:j] - lo]) * _power(_INVERSE, hi - lo)[start[i:j] - lo]
+        s, e = start[i:j] - lo, end[i:j] - lo
+        out[i:j] = mix((sums[e] - sums[s]) * _power(_INVERSE, hi - lo)[s]) + _prime_hashes(data[lo:hi], table2, s, e) * U64(0x9E3779B97F4A7C15)
         i = j
     return Batch(data, start, end, mix(out), np.searchsorted(start, at))
 
@@ -159,6 +187,13 @@ def shingles(batch: Batch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(total)[valid], before[batch.first]
 
 
+def trim() -> None:
+    """Give freed memory back to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def slices(rb: pa.RecordBatch, col: int = 0, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts in ``col`` hold about ``limit`` bytes; a longer text is a run of its own."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(rb.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -169,3 +204,4 @@ def slices(rb: pa.RecordBatch, col: int = 0, limit: int = 1 << 21) -> Iterator[p
         to = min(to, at + 4096, rb.num_rows)
         yield rb.slice(at, to - at)
         at = to
+    trim()

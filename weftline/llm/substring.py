@@ -6,8 +6,10 @@
 2. A window around an anchor that occurs once has no copy.  All other windows
    are candidates: the shared anchors reveal them, and windows without anchors
    are always among them, so no repeat is lost.
-3. A second aggregation over 128-bit hashes of the candidate windows verifies
-   them: a candidate that occurs once is struck out, again with its place.
+3. A second aggregation over BLAKE2 digests of the candidate windows' words
+   verifies them: a candidate that occurs once is struck out, again with its
+   place.  Word hashes and symbols only say what to look at; words or symbols
+   that share a hash by chance make more candidates and change nothing.
 4. What is left of the candidates repeats, and its words are removed.
 
 Both aggregations combine on the map side and keep only what occurs once, so a
@@ -21,6 +23,7 @@ own, so their windows repeat; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,23 +38,24 @@ from weftline.plans.scratch import Scratch
 WINDOW = 35
 ROUNDS = 6
 LONGEST = 12
-_BASES = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
-
-def _window_hashes(hashes: np.ndarray, at: np.ndarray, window: int) -> list[np.ndarray]:
-    out = []
-    for base in _BASES:
-        power = wh._power(base, len(hashes) + 1)[: len(hashes)]
-        sums = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(wh.mix(hashes ^ np.uint64(base)) * power, out=sums[1:])
-        back = wh._power(pow(base, -1, 2**64), len(hashes) + 1)
-        out.append(wh.mix((sums[at + window] - sums[at]) * back[at]).view(np.int64))
-    return out
-
-def _repeat(col: pa.Array, counts: np.ndarray) -> pa.Array:
-    return col.take(pa.array(np.repeat(np.arange(len(col)), counts)))
-
-def _parsed(rb: pa.RecordBatch, window: int, rounds: int, longest: int):
+
+
+def window_digests(batch: wh.Batch, at: np.ndarray, window: int) -> list[np.ndarray]:
+    """128-bit digests of the windows' words, joined by one space, as two numbers."""
+    size = batch.end - batch.start
+    start = np.cumsum(size + 1) - size - 1  # in the joined words
+    joined = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+    joined[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = batch.data[wh.RAW.is_word[batch.data]]
+    text, blake = memoryview(joined.tobytes()), hashlib.blake2b
+    last = at + window - 1
+    found = b"".join([blake(text[a:b], digest_size=16).digest() for a, b in zip(start[at].tolist(), (start + size)[last].tolist(), strict=True)])
+    halves = np.frombuffer(found, np.int64).reshape(-1, 2)
+    return [halves[:, 0], halves[:, 1]]
+
+def _parsed(rb: pa.RecordBatch, window: int, rounds: int, longest: int, bits: int):
     batch = wh.split(rb.column(2), wh.RAW)
+    if bits < 64:
+        batch.hash = batch.hash >> np.uint64(64 - bits)
     symbols = rc.parse(batch.hash, batch.first, rounds, longest)
     at = np.searchsorted(symbols.start, batch.first)  # each document's first symbol
     return batch, symbols, at
@@ -60,11 +64,11 @@ def _ints(col: pa.Array, i: int) -> np.ndarray:
     value = col[i].as_py()
     return np.zeros(0, np.int64) if value is None else np.asarray(value, np.int64)
 
-def _emit_anchors(window: int, rounds: int, longest: int):
+def _emit_anchors(window: int, rounds: int, longest: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for rb in wh.slices(whole, 2):
-                batch, s, at = _parsed(rb, window, rounds, longest)
+                batch, s, at = _parsed(rb, window, rounds, longest, bits)
                 good = rc.anchors(s, batch.first, window)
                 doc = np.repeat(np.arange(rb.num_rows), np.diff(at))[good]
                 order = (np.arange(len(s.name)) - np.repeat(at[:-1], np.diff(at)))[good]
@@ -73,32 +77,32 @@ def _emit_anchors(window: int, rounds: int, longest: int):
 
     return run
 
-def _candidates(rb: pa.RecordBatch, window: int, rounds: int, longest: int) -> tuple[wh.Batch, np.ndarray]:
+def _candidates(rb: pa.RecordBatch, window: int, rounds: int, longest: int, bits: int) -> tuple[wh.Batch, np.ndarray]:
     """The batch's words, and which windows may repeat given the anchors in column 3 that occur once."""
-    batch, s, at = _parsed(rb, window, rounds, longest)
+    batch, s, at = _parsed(rb, window, rounds, longest, bits)
     sole = np.zeros(len(s.name), bool)
     for i in range(rb.num_rows):
         sole[at[i] + _ints(rb.column(3), i)] = True
     return batch, rc.unproven(s, batch.first, window, sole)
 
-def _emit_windows(window: int, rounds: int, longest: int):
+def _emit_windows(window: int, rounds: int, longest: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for rb in wh.slices(whole, 2):
-                batch, may = _candidates(rb, window, rounds, longest)
+                batch, may = _candidates(rb, window, rounds, longest, bits)
                 at = np.flatnonzero(may)
                 doc = np.searchsorted(batch.first, at, "right") - 1
-                w1, w2 = _window_hashes(batch.hash, at, window) if len(at) else [np.zeros(0, np.int64)] * 2
+                w1, w2 = window_digests(batch, at, window)
                 rows = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([rb.column(0).take(rows), rb.column(1).take(rows), pa.array(w1), pa.array(w2), pa.array((at - batch.first[doc]).astype(np.int32))], names=["id", "th", "w1", "w2", "at"])
+                yield pa.RecordBatch.from_arrays([rb.column(0).take(rows), rb.column(1).take(rows), pa.array(w1.copy()), pa.array(w2.copy()), pa.array((at - batch.first[doc]).astype(np.int32))], names=["id", "th", "w1", "w2", "at"])
 
     return run
 
-def _strike(window: int, rounds: int, longest: int):
+def _strike(window: int, rounds: int, longest: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for rb in wh.slices(whole, 2):
-                batch, may = _candidates(rb, window, rounds, longest)
+                batch, may = _candidates(rb, window, rounds, longest, bits)
                 for i in range(rb.num_rows):
                     may[batch.first[i] + _ints(rb.column(4), i)] = False
                 n = len(may)
@@ -124,9 +128,12 @@ def _beside(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     other = lists.withColumnsRenamed({"id": "__id", "th": "__th"})
     return docs.join(other, docs.id.eqNullSafe(other["__id"]) & (docs.th == other["__th"]), how)
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, rounds: int = ROUNDS, longest: int = LONGEST) -> DataFrame:
-    """One row per document: id, n_words, n_removed, kept_text (kept words joined by one space)."""
-    how = (window, rounds, longest)
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, rounds: int = ROUNDS, longest: int = LONGEST, bits: int = 64) -> DataFrame:
+    """One row per document: id, n_words, n_removed, kept_text (kept words joined by one space).
+
+    ``bits``: of the word hashes that symbols are made of; fewer cost time, not results.
+    """
+    how = (window, rounds, longest, bits)
     scratch = Scratch(docs.sparkSession, "substring")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("th"), text.alias("text"))

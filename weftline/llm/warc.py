@@ -12,8 +12,9 @@ others are revisit records that refer to it.  The shared payloads are found on
 digests alone; the pages' own text is moved once, to meet its group.
 
 Defined results: a null payload is empty; a null id is kept, and refers or is
-referred to only if no other page has the payload; line breaks in a URL are
-percent-encoded.  A wrong digest or a torn record raises ``ValueError``.
+referred to only if no other page has the payload; pages that repeat the
+smallest id of a payload all hold it, as they can't be told apart; line breaks
+in a URL are percent-encoded.  A wrong digest or a torn record raises ``ValueError``.
 """
 
 from __future__ import annotations

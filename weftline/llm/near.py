@@ -5,7 +5,8 @@ hashed into bands for candidate search, and folded into an odd sketch: a
 bitmap holding, for each bit, the parity of the samples that fall on it.  The
 population count of the XOR of two sketches estimates how many samples differ,
 which is sharp for high similarities, so all but a few candidates are settled
-before any text is read; what remains is verified on full shingle sets.
+before any text is read; what remains is verified on full shingle sets, and
+each link at last on the words themselves, not on their hashes.
 
 Large groups: equal shingle sets are one class from the start.  In the buckets
 of the first bands each member is verified against the one centre whose sketch
@@ -18,10 +19,14 @@ above.  What is left of a bucket is split into blocks of bounded size, each a
 task's unit of work: there pairs of different components pass the bounds, the
 sketches, and at last the full sets, and no pair leaves a block but a link.
 
+Texts are never moved as a whole: bitmaps of bounded size tell which documents
+a step asks for, and only their texts meet its pairs.
+
 Defined results: null and blank texts have an empty set and link with nothing;
 texts of fewer words than a shingle are one shingle; rows that repeat an id are
 one document if their sets are equal, else they share its links; a null id is
-returned with a null component of its own and is never linked.
+returned with a null component of its own and is never linked.  ``drop_near``
+keeps one of the rows that repeat both id and text.
 """
 
 from __future__ import annotations
@@ -36,7 +41,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import wordhash as wh
+from weftline.llm.exact import one_of
 from weftline.operators.components import components
+from weftline.plans.pruning import among, unused
 from weftline.plans.scratch import Scratch
 
 BITS = 1024
@@ -56,19 +63,21 @@ def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)
 
 
-def sketch_limit(similarity: float, samples: int = SAMPLES, bits: int = BITS) -> int:
-    """The population count that two sets of this similarity stay under, but for six deviations.
+def sketch_limit(similarity: float, samples: int = SAMPLES, bits: int = BITS, deviations: float | None = 6.0) -> int:
+    """The population count that two sets of this similarity stay under, but for so many deviations; without any, the largest count.
 
     Of ``samples`` about ``samples * (1 - similarity)`` differ, and each puts two
     differing items on the bitmap.  The deviation is that of the samples and that
     of the bitmap together.  Ranges that are empty on both sides agree, which only
     lowers the count.
     """
+    if deviations is None:
+        return bits
     items = 2 * samples * (1 - similarity)
     slope = (1 - 2 / bits) ** items
     drawn = 2 * math.sqrt(samples * similarity * (1 - similarity)) * slope
     folded = math.sqrt(bits / 4 * (1 - (1 - 4 / bits) ** items))
-    return math.ceil(bits / 2 * (1 - slope) + 6 * math.hypot(drawn, folded))
+    return math.ceil(bits / 2 * (1 - slope) + deviations * math.hypot(drawn, folded))
 
 
 def sketched(low: np.ndarray) -> np.ndarray:
@@ -134,20 +143,23 @@ def _signature_rows(shingle: int, bands: int, rows: int):
     return run
 
 
+def word_shingles(text: str | None, shingle: int) -> set[tuple[bytes, ...]]:
+    """The distinct shingles of a text as words; A-Z are lower-cased."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and white space only
+    return {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
 def _verified(shingle: int, percent: int):
-    """Keep the pairs whose full shingle sets have at least ``percent`` in a hundred in common."""
+    """Keep the pairs whose shingle sets, as words, have at least ``percent`` in a hundred in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                rb = whole.slice(at, 128)
-                sides = [wh.shingles(wh.split(rb.column(c), wh.LOWER), shingle) for c in (2, 3)]
-                keep = np.zeros(rb.num_rows, bool)
-                for i in range(rb.num_rows):
-                    x, y = (np.unique(h[f[i] : f[i + 1]]) for h, f in sides)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-                yield pa.RecordBatch.from_arrays([rb.column(0).filter(pa.array(keep)), rb.column(1).filter(pa.array(keep))], names=["a", "b"])
+        for rb in batches:
+            keep = []
+            for x, y in zip(rb.column(2), rb.column(3), strict=True):
+                one, two = (word_shingles(v.as_py(), shingle) for v in (x, y))
+                both = len(one & two)
+                keep.append(both > 0 and 100 * both >= percent * (len(one) + len(two) - both))
+            yield pa.RecordBatch.from_arrays([rb.column(0).filter(pa.array(keep, pa.bool_())), rb.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
     return run
 
@@ -235,11 +247,11 @@ def _differing(left: str, right: str) -> Column:
 class NearDuplicates:
     """One run over one table; see the module's text."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, bands: int, rows: int) -> None:
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, bands: int, rows: int, deviations: float | None) -> None:
         self.scratch = Scratch(docs.sparkSession, "near")
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         self.shingle, self.percent = shingle, percent
-        self.limit = sketch_limit(percent / 100)
+        self.limit = sketch_limit(percent / 100, deviations=deviations)
         schema = "id long, n long, f1 long, f2 long, keys array<long>, " + ", ".join(f"o{j} long" for j in range(_LANES))
         self.signed = self.scratch.keep(self.docs.mapInArrow(_signature_rows(shingle, bands, rows), schema), "signatures")
 
@@ -252,10 +264,16 @@ class NearDuplicates:
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of distinct texts that are similar enough, on full sets."""
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = self.scratch.keep(self.docs.join(asked, "id", "left_semi"), "asked")
-        full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        return self.scratch.keep(full.select("a", "b", "ta", "tb").mapInArrow(_verified(self.shingle, self.percent), "a long, b long"), "links")
+        texts = self.asked(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+        full = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+        links = self.scratch.keep(full.select("a", "b", "ta", "tb").mapInArrow(_verified(self.shingle, self.percent), "a long, b long"), "links")
+        self.scratch.settle()
+        return links
+
+    def asked(self, ids: DataFrame) -> DataFrame:
+        """The documents that may be among these ids; a join decides."""
+        ids = self.scratch.keep(ids.distinct(), "asked")
+        return among(self.docs, [F.col("id")], ids, self.scratch)[0]
 
     def near(self, pairs: DataFrame, odd: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose sketches are near enough, with their distance d."""
@@ -295,10 +313,11 @@ class NearDuplicates:
     def searched(self, rows: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
         """Links (a, b) between different components that share a bucket."""
         keep = self.scratch.keep
-        here = rows.select("id", "f1").distinct()
-        members = keep(sets.join(here, ["id", "f1"], "left_semi").join(reps.select("id", "f1", "keys", *(f"o{j}" for j in range(_LANES))), ["id", "f1"]), "members")
+        here = keep(rows.select("id", "f1").distinct(), "here")
+        sets, signed = (among(df, [F.col("id"), F.col("f1")], here, self.scratch)[0] for df in (sets, reps.select("id", "f1", "keys", *(f"o{j}" for j in range(_LANES)))))
+        members = sets.join(signed, ["id", "f1"])
         parts = F.ceil(F.col("m") / BLOCK).cast("int")
-        placed = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key").withColumn("c", F.pmod(F.xxhash64("id"), parts).cast("int"))
+        placed = rows.join(keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "counted"), "key").withColumn("c", F.pmod(F.xxhash64("id"), parts).cast("int"))
         spread = placed.withColumn("x", F.explode(F.sequence(F.lit(0), parts - 1))).select(*rows.columns, "c", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"))
         blocks = spread.join(members, ["id", "f1"]).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         return keep(blocks.mapInArrow(_blocks(self.percent, self.limit), "a long, b long"), "found")
@@ -310,15 +329,22 @@ class NearDuplicates:
         odd = reps.select("id", *(f"o{j}" for j in range(_LANES))).dropDuplicates(["id"])
         rows = reps.select("id", F.explode(F.slice("keys", 1, FIRST_BANDS)).alias("key"))
         buckets = keep(rows.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("top")).where("top > c").select("key", "c"), "buckets")
+        rows, _ = among(rows, [F.col("key")], buckets.select("key"), self.scratch)
         pairs = keep(rows.join(buckets, "key").where("id > c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct(), "starred")
-        links = self.verify(self.nearest(self.near(pairs, odd, "near")))
+        near = self.near(pairs, odd, "near")
+        centred = self.nearest(near)
+        links = self.verify(centred)
+        self.scratch.drop(buckets, pairs, near, centred)
         labels = self.labels(links)
         self.scratch.settle()
         # all bands; labels are joined before a document's keys are spread
         labelled = keep(reps.select("id", "f1", "n", "keys").join(labels, "id", "left").select("id", "f1", "n", F.coalesce("component", "id").alias("label"), "keys"), "labelled")
+        mixed = labelled.select(F.explode("keys").alias("key"), "label").groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2").select("key")
+        mixed = keep(mixed, "mixed")
         spread = labelled.select(F.posexplode("keys").alias("band", "key"), "id", "f1", "n", "label", F.lit(0).cast("long").alias("u"))
-        rows = self.opened(spread, "active")
-        sets = keep(self.docs.join(rows.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_sets(self.shingle), "id long, f1 long, set array<long>"), "sets")
+        rows = self.opened(among(spread, [F.col("key")], mixed, self.scratch)[0], "active")
+        sets = keep(self.asked(rows.select("id")).mapInArrow(_sets(self.shingle), "id long, f1 long, set array<long>"), "sets")
+        self.scratch.drop(labelled, mixed)
         many = rows.count()
         while many:
             rows = self.weeded(rows, sets)
@@ -326,18 +352,23 @@ class NearDuplicates:
             if many > 0.9 * before:
                 break
         self.scratch.settle()
-        links = keep(links.union(self.searched(rows, sets, reps)), "links")
+        found = self.searched(rows, sets, reps)
+        self.scratch.drop(sets)
+        self.scratch.settle()
+        links = keep(links.union(self.verify(found)), "links")
         return reps, links, self.labels(links)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, deviations: float | None = 6.0) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept (id = component_id).
 
     Links are ``100 * intersection >= percent * union`` of distinct ``shingle``-word
     shingles.  ``bands`` of ``rows`` samples miss a pair of similarity s with
-    probability ``(1 - s**rows)**bands``: 6e-11 at 0.85, 5e-8 at 0.8.
+    probability ``(1 - s**rows)**bands``: 6e-11 at 0.85, 5e-8 at 0.8.  Pairs whose
+    sketches differ by ``deviations`` more than such a pair's should are left out
+    (about 1e-9 of the links); None leaves that to the full sets alone.
     """
-    run = NearDuplicates(docs, id_col, text_col, shingle, percent, bands, rows)
+    run = NearDuplicates(docs, id_col, text_col, shingle, percent, bands, rows, deviations)
     reps, _, labels = run.links()
     named = run.scratch.keep(
         reps.select("id", "f1", "f2", "n").join(labels, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component")),
@@ -350,9 +381,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates."""
-    gone = near_duplicates(docs, id_col, text_col, **how).where("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """``docs`` with one document of each group of near-duplicates, and one of the rows that repeat its id and text."""
+    scratch = Scratch(docs.sparkSession, "near")
+    gone, key = unused("__gone", docs), unused("__key", docs)
+    near = near_duplicates(docs, id_col, text_col, **how)
+    dropped = scratch.keep(near.where("NOT kept").select(F.col(id_col).cast("long").alias(gone)).distinct(), "gone")
+    keyed = docs.withColumn(key, F.col(id_col).cast("long"))
+    may, others = among(keyed, [F.col(key)], dropped, scratch)
+    left = others.unionByName(may.join(dropped, F.col(key) == F.col(gone), "left_anti"))
+    repeated = scratch.keep(docs.groupBy(F.col(id_col).cast("long").alias(key)).count().where("count > 1").select(key), "repeated")
+    if repeated.isEmpty():
+        return left.drop(key)
+    may, others = among(left, [F.col(key)], repeated, scratch)
+    sha = unused("__sha", may)
+    named = may.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    return others.unionByName(one_of(named, [key, sha], [], [text_col]).drop(sha)).drop(key)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

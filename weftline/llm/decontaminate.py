@@ -9,9 +9,10 @@ window) and position (the window must lie inside the document at the shingle's
 offset), and then verified word for word over the whole window.
 
 Rarity is counted over all documents in a first pass that looks at shingles of
-the benchmark only.  The benchmark is sent to the executors in blocks of a
-bounded number of windows; each further block is one more step over the same
-rows, so a large benchmark costs time, not memory, and no shuffle in any case.
+the benchmark only.  The benchmark is read, and sent to the executors, in blocks
+of a bounded number of windows, one at a time: each is a pass over the documents
+that writes what it finds, and is then forgotten.  So a large benchmark costs
+time, not memory.  A benchmark of one block needs no second look at the documents.
 
 Defined results: null and empty texts have no words; items without words, and
 items whose id is null, have no windows; repeated items count once per id;
@@ -23,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import wordhash as wh
+from weftline.plans.pruning import among, unused
 from weftline.plans.scratch import Scratch
 
 WINDOW = 8
@@ -154,61 +157,83 @@ def _count(block: Windows):
     return run
 
 
+def _found(block: Windows, batch: wh.Batch) -> Iterator[tuple[list[int], list[str]] | None]:
+    """For each document the covered spans (start, end, start, end ...) and the items, or None."""
+    spans: dict[int, list[int]] = defaultdict(list)
+    items: dict[int, set[str]] = defaultdict(set)
+    for d, s, w in block.find(batch):
+        spans[d] += [s, s + len(block.words[w])]
+        items[d].update(block.items[w])
+    for d in range(len(batch.first) - 1):
+        yield (spans[d], sorted(items[d])) if d in spans else None
+
+
 def _probe(block: Windows):
+    """The hits of one block: only documents that have some."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for rb in wh.slices(whole, 1, 1 << 20):
-                text, spans, items = (rb.column(rb.schema.get_field_index(c)) for c in ("text", "__spans", "__items"))
-                batch = wh.split(text, wh.ALNUM)
-                spans, items = spans.to_pylist(), items.to_pylist()
-                for d, s, w in block.find(batch):
-                    spans[d] = (spans[d] or []) + [s, s + len(block.words[w])]
-                    items[d] = sorted({*(items[d] or ()), *block.items[w]})
-                yield pa.RecordBatch.from_arrays([rb.column(0), text, pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["id", "text", "__spans", "__items"])
+            for rb in wh.slices(whole, 2, 1 << 20):
+                found = list(_found(block, wh.split(rb.column(2), wh.ALNUM)))
+                at = [d for d, f in enumerate(found) if f]
+                hits = rb.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([hits.column(0), hits.column(1), pa.array([found[d][0] for d in at], pa.list_(pa.int32())), pa.array([found[d][1] for d in at], pa.list_(pa.string()))], names=["id", "th", "spans", "items"])
 
     return run
 
 
-def _finish(block: Windows, least: int):
-    """The last block's search and the digests, in one worker."""
-    probe = _probe(block)
+def _results(ids: pa.Array, counts: np.ndarray, found: Iterator[tuple[list[int], list[str]] | None], least: int) -> pa.RecordBatch:
+    hit, each, digest = [], [], []
+    for n, f in zip(counts.tolist(), found, strict=True):
+        spans, items = f or ([], [])
+        covered = np.zeros(n + 1 if spans else 1, np.int64)
+        if spans:
+            np.add.at(covered, spans[::2], 1)
+            np.subtract.at(covered, spans[1::2], 1)
+        hit.append(int((np.cumsum(covered) > 0).sum()))
+        each.append(items)
+        digest.append(hashlib.sha256(",".join(items).encode()).hexdigest())
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(counts.astype(np.int64)), pa.array(hit, pa.int64()), pa.array([len(x) for x in each], pa.int64()), pa.array(digest), pa.array([len(x) >= least for x in each], pa.bool_()), pa.array(each, pa.list_(pa.string()))],
+        names=["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
+    )
+
+
+def _only(block: Windows, least: int):
+    """Search and digests where there is one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in probe(batches):
-            for rb in wh.slices(whole, 1, 1 << 20):
-                counts = wh.split(rb.column(1), wh.ALNUM).counts()
-                hit, n_items, digest = [], [], []
-                for n, spans, items in zip(counts.tolist(), rb.column(2).to_pylist(), rb.column(3).to_pylist(), strict=True):
-                    if spans:
-                        covered = np.zeros(n + 1, np.int64)
-                        np.add.at(covered, spans[::2], 1)
-                        np.subtract.at(covered, spans[1::2], 1)
-                        hit.append(int((np.cumsum(covered) > 0).sum()))
-                    else:
-                        hit.append(0)
-                    n_items.append(len(items or ()))
-                    digest.append(hashlib.sha256(",".join(items or ()).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [rb.column(0), pa.array(counts.astype(np.int64)), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest), pa.array([x >= least for x in n_items]), rb.column(3)],
-                    names=["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
-                )
+        for whole in batches:
+            for rb in wh.slices(whole, 2, 1 << 20):
+                batch = wh.split(rb.column(2), wh.ALNUM)
+                yield _results(rb.column(0), batch.counts(), _found(block, batch), least)
 
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, shingle: int, block_windows: int) -> list[Windows]:
-    """The benchmark as blocks of at most about ``block_windows`` windows, read item by item."""
-    blocks, items, n = [], [], 0
+def _gathered(least: int):
+    """Digests of what the blocks have found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for rb in wh.slices(whole, 2, 1 << 20):
+                spans, items = rb.column(3).to_pylist(), rb.column(4).to_pylist()
+                yield _results(rb.column(0), wh.split(rb.column(2), wh.ALNUM).counts(), (((s or []), sorted({*(i or ())})) for s, i in zip(spans, items, strict=True)), least)
+
+    return run
+
+
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, shingle: int, block_windows: int) -> Iterator[tuple[Windows, bool]]:
+    """The benchmark as blocks of at most about ``block_windows`` windows, read item by item; and whether more follow."""
+    items, n = [], 0
     rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("string"), text_col).orderBy(item_col)
     for item, text in rows.toLocalIterator():
-        items.append((item, text))
-        n += len(text) // 2
         if n > block_windows * 8:
-            blocks.append(Windows(items, window, shingle))
+            yield Windows(items, window, shingle), True
             items, n = [], 0
-    if items or not blocks:
-        blocks.append(Windows(items, window, shingle))
-    return blocks
+        items.append((item, text))
+        n += len(text) // 2
+    yield Windows(items, window, shingle), False
 
 
 def contamination(
@@ -216,25 +241,40 @@ def contamination(
 ) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, items."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    blocks = benchmark_blocks(benchmark, item_col, item_text_col, window, shingle, block_windows)
-    out = rows.select("id", "text", F.lit(None).cast("array<int>").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
-    for block in blocks:
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    schema = f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
+    scratch, hits = Scratch(docs.sparkSession, "windows"), []
+    for block, more in benchmark_blocks(benchmark, item_col, item_text_col, window, shingle, block_windows):
         counts = rows.select("text").mapInArrow(_count(block), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         # At most a row for each shingle of the block.
         block.choose({int(np.int64(r.key).view(np.uint64)): r.n for r in counts.collect()})
-        if block is not blocks[-1]:
-            out = out.mapInArrow(_probe(block), f"id {kind}, text string, __spans array<int>, __items array<string>")
-    done = out.mapInArrow(_finish(blocks[-1], least_items), f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
-    return done.withColumnRenamed("id", id_col)
+        if not hits and not more:
+            return rows.mapInArrow(_only(block, least_items), schema).withColumnRenamed("id", id_col)
+        hits.append(scratch.keep(rows.mapInArrow(_probe(block), f"id {kind}, th long, spans array<int>, items array<string>"), "hits"))
+    # Rows that repeat id and text have the same hits, so one of each is enough.
+    each = [h.dropDuplicates(["id", "th"]) for h in hits]
+    every = reduce(DataFrame.unionByName, each).groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    every = scratch.keep(every.withColumnsRenamed({"id": "__id", "th": "__th"}), "every")
+    may, others = among(rows, [F.col("id"), F.col("th")], every.select("__id", "__th"), scratch)
+    met = may.join(every, F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left").select("id", "th", "text", "spans", "items")
+    others = others.select("*", F.lit(None).cast("array<int>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    return met.unionByName(others).mapInArrow(_gathered(least_items), schema).withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the documents that hold windows of several benchmark items."""
-    bad = contamination(docs, benchmark, id_col, text_col, **how).where("contaminated").select(F.col(id_col).alias("__bad")).distinct()
-    # written, so that the join knows its size and leaves the texts where they are if it is small
-    bad = Scratch(docs.sparkSession, "contaminated").keep(bad, "bad")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    """``docs`` without the documents that hold windows of ``least_items`` benchmark items.
+
+    Rows that repeat an id are judged by their own texts.
+    """
+    scratch = Scratch(docs.sparkSession, "contaminated")
+    named, own, text, bad_id, bad_text = (unused(n, docs) for n in ("__named", "__own", "__text", "__bad_id", "__bad_text"))
+    name = F.struct(F.col(id_col).alias("a"), F.xxhash64(text_col).alias("b"))  # a document's id and text
+    bad = contamination(docs.select(name.alias(named), text_col), benchmark, named, text_col, **how).where("contaminated")
+    bad = scratch.keep(bad.select(F.col(f"{named}.a").alias(bad_id), F.col(f"{named}.b").alias(bad_text)).distinct(), "bad")
+    keyed = docs.withColumns({own: F.col(id_col), text: F.xxhash64(text_col)})
+    may, others = among(keyed, [F.col(own), F.col(text)], bad, scratch)
+    clean = may.join(bad, F.col(own).eqNullSafe(F.col(bad_id)) & (F.col(text) == F.col(bad_text)), "left_anti")
+    return others.unionByName(clean).drop(own, text)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

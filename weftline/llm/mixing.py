@@ -8,15 +8,17 @@ greatest entropy, raised as far as needed that no source repeats more than
 aggregation over the table of sources.
 
 The budget is realised by block permutations.  A source's documents are hashed
-into blocks, at most ``BLOCKS`` of them; every pass permutes the blocks by a
-hash of block and pass, and documents in a block likewise.  Whole passes take
-every document; the last takes blocks while they fit, and from the one block at
-the limit the documents that fit.  So sums run over blocks (bounded per source)
-and over the documents of one block per source, never over a whole source.
+into blocks of about ``block_tokens`` tokens, as many as it takes; every pass
+permutes the blocks by a hash of block and pass, and documents in a block
+likewise.  Whole passes take every document; the last takes blocks while they
+fit, and from the one block at the limit the documents that fit.  Running sums
+over a source's blocks are taken in two levels, over ``_RANGES`` ranges of the
+permuting hash and then inside each range, so no task sorts a source.
 
 Defined results: a null source is a source of its own; a null or blank text has
-no tokens, and is taken in whole passes only; a null id is dealt with like any
-other value; rows that repeat an id are separate documents of the same rank.
+no tokens, and is taken in whole passes only (so sources without any token have
+no rows); a null id is dealt with like any other value; rows that repeat an id
+are separate documents of the same rank.
 """
 
 from __future__ import annotations
@@ -25,12 +27,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.plans.pruning import quoted, unused
 from weftline.plans.scratch import Scratch
 
 ENTROPY = 0.98
 REPEATS = 4.0
-BLOCKS = 1024
 BLOCK_TOKENS = 4096
+#: The permuting hash has 32 bits; its first 12 name a range.
+_RANGES, _RANGE_BITS = 1 << 12, 20
+#: Rows of chosen blocks up to which they are broadcast to the documents, about 100 bytes each; beyond that the documents are shuffled to them.
+MOST_BROADCAST = 400_000
 #: Halvings of the exponent's range: 4 in each of 10 aggregations.
 _STEPS, _PARTS = 10, 16
 #: Tokens by which rounding may have put a quota below a whole number.
@@ -85,7 +91,7 @@ def exponent(sources: DataFrame, budget: float, entropy: float, repeats: float)
     return max(by_entropy, by_repeats)
 
 
-def source_weights(docs: DataFrame, source_col: str = "source", text_col: str = "text", *, budget: float | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, scratch: Scratch | None = None) -> DataFrame:
+def source_weights(docs: DataFrame, source_col: str = "source", text_col: str = "text", *, budget: float | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, block_tokens: int = BLOCK_TOKENS, scratch: Scratch | None = None) -> DataFrame:
     """One row per source with tokens: source, n, p, weight, quota, passes, rest, blocks."""
     scratch = scratch or Scratch(docs.sparkSession, "mix")
     counted = docs.select(F.col(source_col).alias("source"), tokens(F.col(text_col)).alias("t")).groupBy("source").agg(F.sum("t").alias("n"))
@@ -98,7 +104,7 @@ def source_weights(docs: DataFrame, source_col: str = "source", text_col: str =
     out = shares.crossJoin(F.broadcast(sums)).withColumn("weight", power / F.col("z"))  # one row
     out = out.withColumn("quota", F.floor(F.col("weight") * budget + _SLACK).cast("long"))
     passes = F.floor(F.col("quota") / F.col("n")).cast("long")
-    blocks = F.least(F.lit(BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_TOKENS))).cast("long")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block_tokens)).cast("long")
     return scratch.keep(out.select("source", "n", "p", "weight", "quota", passes.alias("passes"), (F.col("quota") - passes * F.col("n")).alias("rest"), blocks.alias("blocks")), "weights")
 
 
@@ -112,37 +118,52 @@ def _same(a: DataFrame, b: DataFrame, *names: str) -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *, seed: int = 17, **how) -> DataFrame:
     """The mixture: one row for each time a document is taken.
 
-    Columns: id, source, n_tokens, weight, pass (from 0), block, mix_pos.  Sorting
-    by ``mix_pos``, a block's place in its source's quota, interleaves the
-    sources by weight.
+    The documents' columns, and n_tokens, weight, pass (from 0), block, mix_pos,
+    in place of any columns of those names.  Sorting by ``mix_pos``, a block's
+    place in its source's quota, interleaves the sources by weight.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     weights = source_weights(docs, source_col, text_col, scratch=scratch, **how)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), tokens(F.col(text_col)).alias("t"))
+    made = ["n_tokens", "weight", "pass", "block", "mix_pos"]
+    docs = docs.drop(*made)
     w = weights.withColumnRenamed("source", "s")
+    # Sources are a dimension table: some hundreds of rows at most in practice; the optimizer broadcasts it by its size.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), tokens(F.col(text_col)).alias("t"))
     dealt = rows.join(w.select("s", "blocks"), rows.src.eqNullSafe(w.s)).select("id", "src", "t", F.pmod(_hash(seed, F.col("id")), F.col("blocks")).alias("block"))
-    dealt = scratch.keep(dealt, "dealt")
     sums = dealt.groupBy("src", "block").agg(F.sum("t").alias("bt"))
-    each = w.join(sums, w.s.eqNullSafe(sums.src)).select("src", "block", "bt", "weight", "quota", "n", "passes", "rest", F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("pass"))
-    order = W.partitionBy("src", "pass").orderBy(_hash(seed, "block", F.col("block"), F.col("pass")), "block")
-    each = each.withColumn("until", F.sum("bt").over(order)).withColumn("before", F.col("until") - F.col("bt"))
+    sums = scratch.keep(w.join(sums, w.s.eqNullSafe(sums.src)).select("src", "block", "bt", "weight", "quota", "n", "passes", "rest"), "sums")
+    each = sums.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes")))).withColumn("h", _hash(seed, "block", F.col("block"), F.col("pass"))).withColumn("range", F.shiftright("h", _RANGE_BITS))
+    ranges = each.groupBy("src", "pass", "range").agg(F.sum("bt").alias("rt"))
+    ranges = ranges.select(F.col("src").alias("rs"), F.col("pass").alias("rp"), F.col("range").alias("rr"), (F.sum("rt").over(W.partitionBy("src", "pass").orderBy("range")) - F.col("rt")).alias("base"))  # _RANGES rows of a source and pass
+    each = each.join(ranges, F.col("src").eqNullSafe(F.col("rs")) & (F.col("pass") == F.col("rp")) & (F.col("range") == F.col("rr")))
+    order = W.partitionBy("src", "pass", "range").orderBy("h", "block")
+    each = each.withColumn("until", F.col("base") + F.sum("bt").over(order)).withColumn("before", F.col("until") - F.col("bt"))
     last = F.col("pass") == F.col("passes")
     each = each.where(~last | (F.col("before") < F.col("rest")))
     place = (F.col("pass") * F.col("n") + F.col("before")) / F.greatest("quota", F.lit(1))
     each = scratch.keep(
-        each.select(F.col("src").alias("s"), F.col("block").alias("b"), "weight", "pass", place.alias("mix_pos"), F.when(last & (F.col("until") > F.col("rest")), F.col("rest") - F.col("before")).alias("room")),
+        each.select(F.col("src").alias("s"), F.col("block").alias("b"), "weight", F.col("pass").alias("p"), place.alias("place"), F.when(last & (F.col("until") > F.col("rest")), F.col("rest") - F.col("before")).alias("room")),
         "blocks",
     )
-    taken = dealt.join(each, dealt.src.eqNullSafe(each.s) & (dealt.block == each.b)).select("id", "src", "t", "block", "weight", "pass", "mix_pos", "room")
-    whole = taken.where("room IS NULL")
-    inner = W.partitionBy("src", "block", "pass").orderBy(_hash(seed, "doc", F.col("id"), F.col("pass")), "id")
-    part = taken.where("room IS NOT NULL").withColumn("sum", F.sum("t").over(inner.rangeBetween(W.unboundedPreceding, 0))).where("sum <= room AND t > 0").drop("sum")
+    own = {n: unused(n, docs, each) for n in ("__source", "__tokens", "__block", "__blocks")}
+    source, t, block, blocks = own.values()
+    w = w.select(F.col("s").alias(source), F.col("blocks").alias(blocks))
+    placed = docs.join(w, F.col(source_col).eqNullSafe(F.col(source))).withColumns({t: tokens(F.col(text_col)), block: F.pmod(_hash(seed, F.col(id_col)), F.col(blocks))})
+    taking = each if each.count() > MOST_BROADCAST else F.broadcast(each)
+    taking = taking.select(*(F.col(c).alias(f"__{c}") for c in ("s", "b", "weight", "p", "place", "room")))
+    taken = placed.join(taking, F.col(source).eqNullSafe(F.col("__s")) & (F.col(block) == F.col("__b")))
+    whole = taken.where("__room IS NULL")
+    # The documents of the block at the limit: one block of a source, of about block_tokens tokens or one document.
+    inner = W.partitionBy(source, block, "__p").orderBy(_hash(seed, "doc", F.col(id_col), F.col("__p")), F.col(id_col))
+    upto = unused("__upto", taken)
+    part = taken.where("__room IS NOT NULL").withColumn(upto, F.sum(t).over(inner.rangeBetween(W.unboundedPreceding, 0))).where(F.col(upto) <= F.col("__room")).where(F.col(t) > 0).drop(upto)
     out = whole.unionByName(part)
-    return out.select(F.col("id").alias(id_col), F.col("src").alias(source_col), F.col("t").alias("n_tokens"), F.round("weight", 9).alias("weight"), F.col("pass").cast("long").alias("pass"), "block", F.round("mix_pos", 9).alias("mix_pos"))
+    return out.select(*quoted(*docs.columns), F.col(t).alias("n_tokens"), F.round("__weight", 9).alias("weight"), F.col("__p").cast("long").alias("pass"), F.col(block).alias("block"), F.round("__place", 9).alias("mix_pos"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    return out.select("doc_id", "source", "n_tokens", "weight", "pass", "block", "mix_pos")
 
 
 QUERIES = {"op1_mixing": op1_mixing}
@@ -173,7 +194,7 @@ ORACLE_SQL = {
                      (SELECT ln(sum(p)) - sum(p * ln(p)) / sum(p) >= {ENTROPY} * any_value(top) FROM p) AS nat),
         w AS (SELECT source, n, p ** (CASE WHEN nat THEN 1 ELSE a END) / sum(p ** (CASE WHEN nat THEN 1 ELSE a END)) OVER () AS weight, total FROM p, a),
         q AS (SELECT source, n, weight, floor(weight * total + {_SLACK})::BIGINT AS quota FROM w),
-        v AS (SELECT *, quota // n AS passes, quota - quota // n * n AS rest, least({BLOCKS}, greatest(1, ceil(n / {BLOCK_TOKENS})))::BIGINT AS blocks FROM q),
+        v AS (SELECT *, quota // n AS passes, quota - quota // n * n AS rest, greatest(1, ceil(n / {BLOCK_TOKENS}))::BIGINT AS blocks FROM q),
         r AS (SELECT doc_id, d.source, t, {_md5("'17'", _ID)} % blocks AS block FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source),
         b AS (SELECT source, block, sum(t)::BIGINT AS bt FROM r GROUP BY ALL),
         x AS (SELECT b.*, v.weight, v.quota, v.n, v.passes, v.rest, unnest(range(0, v.passes + 1)) AS pass FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source),

@@ -16,7 +16,7 @@ from weftline.operators import outlets as O
 from weftline.operators import stats as ST
 from weftline.operators.pairs import shared_entity_pairs
 from weftline.plans.pruning import among, unused
-from weftline.plans.scratch import Scratch
+from weftline.plans.scratch import Scratch, discarded
 
 
 def bags(seed, n=60, vocabulary=25, frequent=("hot",)):
@@ -153,6 +153,10 @@ def test_scratch_is_dropped(spark, tmp_path):
     assert kept.count() == 3 and os.listdir(folder)
     scratch.drop(kept)
     assert not os.listdir(folder)
+    with discarded():
+        inner = Scratch(spark, "inner")
+        again = scratch.keep(inner.keep(spark.range(3), "numbers"), "again")
+    assert again.count() == 3 and os.path.isdir(folder) and not os.path.exists(inner.root.removeprefix("file://"))
 
 
 def test_pairs_without_window(spark):

@@ -6,18 +6,23 @@ a recomputation of everything above), gives the optimizer real sizes, and puts
 a plain scan on both sides of the joins that follow, which is what adaptive
 execution needs in order to split skewed partitions.
 
-``Scratch.drop`` deletes tables that later ones have replaced.  What a result
+``Scratch.drop`` deletes tables that later ones have replaced, and ``discarded``
+all folders that were opened while a result was made and written.  What a result
 still reads stays until the driver ends, which deletes the run's folder.
 """
 
 from __future__ import annotations
 
+import contextvars
 import gc
 import re
 import tempfile
 import threading
 import uuid
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -60,6 +65,22 @@ def _small_batches(spark: SparkSession, more: int) -> None:
                 spark.conf.set(_ARROW, _writing.pop(name)[1])
 
 
+_opened: contextvars.ContextVar[list | None] = contextvars.ContextVar("opened", default=None)
+
+
+@contextmanager
+def discarded() -> Iterator[None]:
+    """Delete at the end every folder that is opened meanwhile; what they held must have been written elsewhere."""
+    opened: list[Scratch] = []
+    token = _opened.set(opened)
+    try:
+        yield
+    finally:
+        _opened.reset(token)
+        for scratch in opened:
+            scratch.delete()
+
+
 class Scratch:
     """A folder of intermediate tables for one run of an operator."""
 
@@ -72,6 +93,8 @@ class Scratch:
         files = path.getFileSystem(spark._jsc.hadoopConfiguration())
         files.mkdirs(path)
         files.deleteOnExit(path)
+        if (opened := _opened.get()) is not None:
+            opened.append(self)
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
@@ -95,8 +118,16 @@ class Scratch:
     def drop(self, *kept: DataFrame) -> None:
         """Delete tables of this run that nothing reads any more."""
         for df in kept:
-            path = self._path(self.paths.pop(id(df))[1])
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self.paths.pop(id(df))[1])
+
+    def delete(self) -> None:
+        """Delete the folder and all its tables."""
+        self.paths.clear()
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self._path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def settle(self) -> None:
         """Let Spark drop the shuffle files of phases whose output is written.

@@ -9,7 +9,7 @@ from weftline.llm.exact import drop_exact
 from weftline.llm.mixing import mix
 from weftline.llm.near import drop_near
 from weftline.llm.toxicity import drop_toxic
-from weftline.plans.scratch import Scratch
+from weftline.plans.scratch import Scratch, discarded
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; a stage's input and its own tables are deleted once its output is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scratch = Scratch(spark, "pipeline")
+    scratch, last = Scratch(spark, "pipeline"), []
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        with discarded():
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.drop(*last)
+        last = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -167,3 +167,17 @@ def binary_metrics(df: DataFrame, label: str, predicted: str, score: str) -> Dat
     )
     auc = superiority(df, [], label, score).select(F.col("p").alias("auc"))
     return out.crossJoin(auc)  # one row each
+
+
+def agreement(n: Column, observed: Column, a: Column, b: Column) -> dict[str, Column]:
+    """Agreement of two raters of ``n`` items over two classes, corrected for chance in five ways.
+
+    ``observed``: the share of items on which they agree; ``a``, ``b``: each one's share of the first class.
+    """
+    m = (a + b) / 2
+    corrected = lambda chance: (observed - chance) / F.nullif(1 - chance, F.lit(0.0))
+    unlike = 2 * m * (1 - m)
+    return {
+        "agreement": observed, "cohen": corrected(a * b + (1 - a) * (1 - b)), "scott": corrected(m * m + (1 - m) * (1 - m)), "gwet": corrected(unlike), "bennett": corrected(F.lit(0.5)),
+        "krippendorff": 1 - (1 - observed) * (2 * n - 1) / (2 * n) / F.nullif(unlike, F.lit(0.0)),
+    }

@@ -195,11 +195,6 @@ def sem(spark, sf):
     return ST.group_stats(pairs(spark, sf), ["c1"]).select("c1", "n", r6(F.col("sem"), "sem"))
 
 
-@query("q_ci95")
-def ci95(spark, sf):
-    return ST.with_interval(ST.group_stats(pairs(spark, sf), ["c1"])).select("c1", "n", r6(F.col("mean"), "mean"), r6(F.col("ci95"), "ci95"))
-
-
 @query("q_pair_population", "WITH n AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) SELECT sum(n * (n - 1))::BIGINT AS intra, ((sum(n) * sum(n) - sum(n * n)) / 2)::BIGINT AS inter FROM n")
 def pair_population(spark, sf):
     return ST.pair_population(table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n")))
@@ -655,7 +650,7 @@ def cluster_mean_sim(spark, sf):
     return inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(4 - F.col("weight")), 5).alias("mean"))
 
 
-@query("q_shuffled")
+@query("q_shuffled", "SELECT doc_id FROM documents")
 def shuffled(spark, sf):
     return docs(spark, sf).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)))
 

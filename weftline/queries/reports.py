@@ -50,19 +50,40 @@ def spearman_p(spark, sf):
     return ST.with_p_value(found).select(*keys, r6(F.col("r"), "r"), "n", r6(F.col("p"), "p"))
 
 
-#: The t interval from its definition: the angle whose central share is 0.95, by bisection.
-_CI = f"""WITH RECURSIVE {A.PAIRS}, s AS (SELECT c1, c2, count(*) AS n, avg(sim) AS mean, stddev_samp(sim) / sqrt(count(*)) AS sem FROM x GROUP BY c1, c2),
+def _interval_sql(keys: str) -> str:
+    """The t interval from its definition: the angle whose central share is 0.95, by bisection."""
+    return f"""WITH RECURSIVE {A.PAIRS}, s AS (SELECT {keys}, count(*) AS n, avg(sim) AS mean, stddev_samp(sim) / sqrt(count(*)) AS sem FROM x GROUP BY {keys}),
     d AS (SELECT DISTINCT (n - 1)::DOUBLE AS v FROM s WHERE n > 1),
     b AS (SELECT v, 0.0::DOUBLE AS lo, pi() / 2 AS hi, 0 AS step FROM d UNION ALL
           SELECT v, CASE WHEN low THEN mid ELSE lo END, CASE WHEN low THEN hi ELSE mid END, step + 1
           FROM (SELECT *, {_BETWEEN.format(angle="mid")} < 0.95 * {_HALF} AS low FROM (SELECT *, (lo + hi) / 2 AS mid FROM b WHERE step < 40)))
-    SELECT c1, c2, n, round(mean, 6) AS mean, round(sem * sqrt(v) * tan(lo), 6) AS ci95 FROM s LEFT JOIN b ON v = n - 1 AND step = 40"""
+    SELECT {keys}, n, round(mean, 6) AS mean, round(sem * sqrt(v) * tan(lo), 6) AS ci95 FROM s LEFT JOIN b ON v = n - 1 AND step = 40"""
 
 
-@query("q_interval", _CI)
+def _interval(spark, sf, keys):
+    return ST.with_interval(ST.group_stats(A.pairs(spark, sf), keys)).select(*keys, "n", r6(F.col("mean"), "mean"), r6(F.col("ci95"), "ci95"))
+
+
+@query("q_ci95", _interval_sql("c1"))
+def ci95(spark, sf):
+    """Means of countries with the half width of their 95 % t interval."""
+    return _interval(spark, sf, ["c1"])
+
+
+@query("q_interval", _interval_sql("c1, c2"))
 def interval(spark, sf):
-    """Means of country pairs with the half width of their 95 % t interval."""
-    return ST.with_interval(ST.group_stats(A.pairs(spark, sf), ["c1", "c2"])).select("c1", "c2", "n", r6(F.col("mean"), "mean"), r6(F.col("ci95"), "ci95"))
+    return _interval(spark, sf, ["c1", "c2"])
+
+
+_AGREE = "WITH t AS (SELECT count(*)::DOUBLE AS n, avg((quality = toxic)::INT) AS po, avg(quality) AS a, avg(toxic) AS b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), u AS (SELECT *, (a + b) / 2 AS m FROM t)"
+
+
+@query("q_agreement_measures", f"{_AGREE} SELECT round(po, 6) AS agreement, round((po - a * b - (1 - a) * (1 - b)) / (1 - a * b - (1 - a) * (1 - b)), 6) AS cohen, round((po - m * m - (1 - m) * (1 - m)) / (1 - m * m - (1 - m) * (1 - m)), 6) AS scott, round((po - 2 * m * (1 - m)) / (1 - 2 * m * (1 - m)), 6) AS gwet, round(2 * po - 1, 6) AS bennett, round(1 - (1 - po) * (2 * n - 1) / (2 * n) / (2 * m * (1 - m)), 6) AS krippendorff FROM u")
+def agreement_measures(spark, sf):
+    """Chance-corrected agreement of two raters over two classes."""
+    labels = table(spark, sf, "labels").dropna(subset=["quality", "toxic"])
+    t = labels.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg((F.col("quality") == F.col("toxic")).cast("int")).alias("po"), F.avg("quality").alias("a"), F.avg("toxic").alias("b"))
+    return t.select(*(r6(c, name) for name, c in ST.agreement(F.col("n"), F.col("po"), F.col("a"), F.col("b")).items()))
 
 
 @query("q_feature_values", "SELECT 'l_linenumber' AS feature, count(DISTINCT l_linenumber) > 1 AS varies FROM lineitem UNION ALL SELECT 'l_quantity', count(DISTINCT l_quantity) > 1 FROM lineitem UNION ALL SELECT 'o_orderstatus of F', count(DISTINCT o_orderstatus) > 1 FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'l_tax', count(DISTINCT l_tax) > 1 FROM lineitem")
@@ -267,6 +288,64 @@ def filter_index_days(spark, sf):
     return bag(spark, sf).where("day <> 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 10")
 
 
+# --- more covariates and features
+
+_COV = "SELECT n_nationkey AS c, n_regionkey AS region, s.*, u.*, o.* FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS suppliers, avg(s_acctbal) AS supply_mean, min(s_acctbal) AS supply_least, max(s_acctbal) AS supply_most, stddev_samp(s_acctbal) AS supply_spread FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey LEFT JOIN (SELECT c_nationkey, count(*) AS customers, avg(c_acctbal) AS wealth, avg((c_acctbal < 0)::INT) AS in_debt, count(DISTINCT c_mktsegment) AS segments, avg((c_mktsegment = 'BUILDING')::INT) AS building FROM customer GROUP BY 1) u ON c_nationkey = n_nationkey LEFT JOIN (SELECT c_nationkey AS k, count(*) AS orders, avg(o_totalprice) AS price, avg((o_orderstatus = 'F')::INT) AS filled, avg((left(o_orderpriority, 1) = '1')::INT) AS urgent FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1) o ON k = n_nationkey"
+_NUMBERS = ["supply_mean", "supply_least", "supply_most", "supply_spread", "wealth", "in_debt", "building", "price", "filled", "urgent"]
+_COUNTS = ["region", "suppliers", "customers", "segments", "orders"]
+
+
+def country_covariates(spark, sf):
+    """Fifteen covariates of each country, by a chain of left joins."""
+    share = lambda condition: F.avg(condition.cast("int"))
+    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("c")).agg(
+        F.count(F.lit(1)).alias("suppliers"), F.avg("s_acctbal").alias("supply_mean"), F.min("s_acctbal").alias("supply_least"), F.max("s_acctbal").alias("supply_most"), F.stddev_samp("s_acctbal").alias("supply_spread")
+    )
+    customers = table(spark, sf, "customer")
+    u = customers.groupBy(F.col("c_nationkey").alias("c")).agg(
+        F.count(F.lit(1)).alias("customers"), F.avg("c_acctbal").alias("wealth"), share(F.col("c_acctbal") < 0).alias("in_debt"), F.count_distinct("c_mktsegment").alias("segments"), share(F.col("c_mktsegment") == "BUILDING").alias("building")
+    )
+    o = table(spark, sf, "orders").join(customers, F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_nationkey").alias("c")).agg(
+        F.count(F.lit(1)).alias("orders"), F.avg("o_totalprice").alias("price"), share(F.col("o_orderstatus") == "F").alias("filled"), share(F.col("o_orderpriority").startswith("1")).alias("urgent")
+    )
+    out = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c"), F.col("n_regionkey").alias("region"))
+    for more in (s, u, o):
+        out = out.join(more, "c", "left")
+    return out
+
+
+@query("q_covariate_chain", f"SELECT c, {', '.join(_COUNTS)}, {', '.join(f'round({x}, 6) AS {x}' for x in _NUMBERS)} FROM ({_COV})")
+def covariate_chain(spark, sf):
+    return country_covariates(spark, sf).select("c", *_COUNTS, *(r6(F.col(x), x) for x in _NUMBERS))
+
+
+#: Each country's languages, of ten, and its type of state, of three, made from its key.
+_SPOKEN = "list_distinct([c % 10, (c * 3 + 1) % 10])"
+_LANGUAGES = 10
+_MATRIX = f"""WITH {A.PAIRS}, {A.COUNTRY_PAIRS}, {A.MEMBER}, cov AS ({_COV}), l AS (SELECT *, {_SPOKEN} AS spoken, c % 3 AS state FROM cov), w AS (SELECT median(wealth) AS mid FROM cov),
+    y AS (SELECT cp.c1, cp.c2, a.region = b.region AS region, list_intersect(a.spoken, b.spoken) AS both_, a.state AS s1, b.state AS s2, a.wealth >= mid AS r1, b.wealth >= mid AS r2, list_intersect(p.gs, q.gs) AS gs, a.wealth AS w1, b.wealth AS w2, a.price AS p1, b.price AS p2 FROM cp JOIN l a ON a.c = cp.c1 JOIN l b ON b.c = cp.c2 JOIN m p ON p.c = cp.c1 JOIN m q ON q.c = cp.c2, w WHERE cp.c1 < cp.c2)"""
+
+
+@query("q_pair_matrix", f"""{_MATRIX} SELECT c1, c2, region::INT AS same_region, (len(both_) > 0)::INT AS same_language, (s1 = s2)::INT AS same_state, (s1 = 0 AND s2 = 0)::INT AS both_unitary, (r1 AND r2)::INT AS both_rich, (NOT r1 AND NOT r2)::INT AS both_poor, (r1 <> r2)::INT AS rich_and_poor,
+    round(abs(w1 - w2), 6) AS wealth_gap, round(p1 * p2, 2) AS price_product, {', '.join(f'list_contains(both_, {i})::INT AS language{i}' for i in range(_LANGUAGES))}, {', '.join(f'list_contains(gs, {i})::INT AS group{i}' for i in range(5))} FROM y""")
+def pair_matrix(spark, sf):
+    """Indicators of each pair of countries: region, languages one by one, groups one by one, type of state, wealth."""
+    cov = country_covariates(spark, sf).select("c", "region", "wealth", "price", F.array_distinct(F.array(F.col("c") % 10, (F.col("c") * 3 + 1) % 10)).alias("spoken"), (F.col("c") % 3).alias("state"))
+    middle = cov.agg(F.median("wealth").alias("mid"))
+    rows = A.country_pairs(spark, sf).where("c1 < c2").select("c1", "c2")
+    for i in (1, 2):
+        rows = rows.join(cov.select(*(F.col(c).alias(f"{c}{i}") for c in cov.columns)), f"c{i}").join(A.members(spark, sf, i), f"c{i}")
+    rows = rows.crossJoin(F.broadcast(middle))  # one row
+    rich1, rich2 = (F.col(f"wealth{i}") >= F.col("mid") for i in (1, 2))
+    spoken, groups = F.array_intersect("spoken1", "spoken2"), F.array_intersect("gs1", "gs2")
+    flags = {
+        "same_region": F.col("region1") == F.col("region2"), "same_language": F.size(spoken) > 0, "same_state": F.col("state1") == F.col("state2"), "both_unitary": (F.col("state1") == 0) & (F.col("state2") == 0),
+        "both_rich": rich1 & rich2, "both_poor": ~rich1 & ~rich2, "rich_and_poor": rich1 != rich2,
+        **{f"language{i}": F.array_contains(spoken, F.lit(i).cast(cov.schema["spoken"].dataType.elementType)) for i in range(_LANGUAGES)}, **{f"group{i}": F.array_contains(groups, i) for i in range(5)},
+    }
+    return rows.select("c1", "c2", *(c.cast("int").alias(n) for n, c in flags.items()), r6(F.abs(F.col("wealth1") - F.col("wealth2")), "wealth_gap"), F.round(F.col("price1") * F.col("price2"), 2).alias("price_product"))
+
+
 # --- files: written below the shared folder and read back
 
 

@@ -1,14 +1,21 @@
-"""Personal data by fixed patterns plus a semi-Markov model, fitted as a perceptron.
+"""Personal data by fixed patterns plus a semi-Markov conditional random field.
 
 Four fixed patterns give the base spans.  Around anything that could be
 personal data (a run of digits and their punctuation, a word with an at sign,
-spelled out or not) a zone is cut into tokens, and a semi-Markov model chooses
-boundaries and types together: a dynamic programme over segments of at most
-``LONGEST`` tokens, scored by features of the whole segment (digit count and
-grouping, separators, check digits, octet ranges, words before it).  Weights
-come from a structured perceptron on zones of a bounded sample, whose base
-spans are the truth and are shown with and without their tell-tale marks.
-Decoded segments that touch no base span are added to them.
+spelled out or not) a zone is cut into tokens, and a semi-Markov conditional
+random field chooses boundaries and types together: a dynamic programme over
+segments of at most ``LONGEST`` tokens, scored by features of the whole segment
+(digit count and grouping, separators, check digits, octet ranges, words before
+it) and by neighbouring types.  Decoded segments that touch no base span are
+added to them.
+
+The weights maximise the penalised conditional likelihood of the right
+segmentation among all, summed by the same dynamic programme forwards and
+backwards.  They are fitted on pieces of zones of a bounded sample, whose base
+spans are the truth and are shown with and without their tell-tale marks: at
+most ``MAX_TEXTS`` texts, and from these at most ``MAX_CASES`` pieces that begin
+with each kind or with none, of at most ``MAX_CHARS`` characters each.  Only
+these pieces come to the driver.
 
 Zones are cut by linear scans, so one very long token costs no more than its
 length.  A zone of any length is decoded as a whole: scores are kept for the
@@ -23,19 +30,25 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.plans.scratch import Scratch
+
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of a segment at most, and of a training case, which ends at the first place after them that no span covers.
 LONGEST = 15
 ZONE_TOKENS = 120
-#: Documents whose zones train the model: a documented bound.
-MAX_TRAINING = 600
+#: Documented bounds of the fit: texts sampled, pieces of zones for each kind and for none, characters of a piece.
+MAX_TEXTS, MAX_CASES, MAX_CHARS = 600, 400, 2000
+#: Characters before a segment in which a word may announce it.
+CONTEXT = 24
+#: What a text must hold to have any span.
+MAYBE = r"@|[+0-9][0-9 ().+-]{6}|(?i:\(at\)|\[at\]|\{at\})"
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -44,6 +57,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SPELLED = re.compile(r"(?:\(at\)|\[at\]|\{at\})", re.I)
+_ADDRESS = re.compile(r"(?:@|[(\[{]at[)\]}] ?)\S*(?: ?(?:\.|\(dot\)|\[dot\]) ?\S+)*", re.I)
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s|.", re.S)
 _WORD_BEFORE = re.compile(r"([^\W\d_]+)[^\w]{0,4}$")
 
@@ -98,16 +112,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def zones(text: str) -> list[tuple[int, int]]:
-    """Stretches worth decoding: numbers of 7 digits or more, and words around at signs."""
+    """Stretches worth decoding: numbers of 7 digits or more, and words around at signs, however long."""
     out = [(m.start(), m.start() + len(m.group().rstrip(" ("))) for m in _DIGITS.finditer(text) if len(m.group()) >= 7 and len(_only_digits(m.group())) >= 7]
     marks = [m.start() for m in re.finditer("@", text)] if "@" in text else []
-    if "at)" in text or "at]" in text or "at}" in text:
-        marks += [m.start() for m in _SPELLED.finditer(text)]
+    if any(x in text for x in ("at)", "at]", "at}", "At)", "At]", "At}", "AT)", "AT]", "AT}", "aT)", "aT]", "aT}")):
+        marks = sorted(marks + [m.start() for m in _SPELLED.finditer(text)])
+    end = 0
     for at in marks:
-        a = max(0, at - 64)
-        b = min(len(text), at + 100)
-        head, tail = text[a:at], text[at:b]
-        out.append((a + max(head.rfind("\n"), head.rstrip().rfind(" ")) + 1, at + len(re.match(r"\S+(?: ?(?:\.|\(dot\)|\[dot\]) ?\S+)*", tail).group())))
+        if at < end:
+            continue  # inside the zone of an earlier mark
+        word = at
+        while word > end and text[word - 1] in " \n":  # blanks before a spelled at sign
+            word -= 1
+            if text[word] == "\n":
+                word += 1
+                break
+        start = max(text.rfind(" ", end, word), text.rfind("\n", end, word), end - 1) + 1
+        end = _ADDRESS.match(text, at).end()
+        out.append((start, end))
     merged: list[tuple[int, int]] = []
     for s, e in sorted(out):
         if merged and s < merged[-1][1]:
@@ -144,7 +166,7 @@ def features(text: str, start: int, end: int) -> list[str]:
     if "@" in s or _SPELLED.search(s):
         host = re.split(r"@|[(\[{]at[)\]}]", s, flags=re.I)[-1]
         out += ["at", f"at,host={bool(re.search(r'[.]|dot', host))}", f"at,space={' ' in s.strip()}"]
-    before = _WORD_BEFORE.search(text, max(0, start - 24), start)
+    before = _WORD_BEFORE.search(text, max(0, start - CONTEXT), start)
     word = before.group(1).lower() if before else ""
     if word in _CUES:
         out.append(f"cue={_CUES[word]}")
@@ -205,20 +227,179 @@ class SemiMarkov:
             at, kind = at - back[cell], back[cell + 1] - 1
         return out[::-1]
 
-    @staticmethod
-    def describe(text: str, limits: list[int], segments: list[tuple[int, int, int]]) -> Counter:
-        out: Counter = Counter()
-        last = -1
+    def score(self, text: str, limits: list[int], segments: list[tuple[int, int, int]]) -> float:
+        """The sum of the weights of a segmentation."""
+        w, total, last = self.weights.get, 0.0, -1
         for start, kind, end in segments:
-            out[f"{last}>{kind}"] += 1
+            total += w(f"{last}>{kind}", 0.0)
             if kind < 0:
-                out[f"o|{_shape(text[limits[start]])}"] += 1
+                total += w(f"o|{_shape(text[limits[start]])}", 0.0)
             else:
-                out[f"{kind}|"] += 1
-                out.update(f"{kind}|{f}" for f in features(text, limits[start], limits[end]))
+                total += w(f"{kind}|", 0.0) + sum(w(f"{kind}|{f}", 0.0) for f in features(text, limits[start], limits[end]))
             last = kind
+        return total
+
+
+Case = tuple[str, list[int], list[tuple[int, int, int]]]
+
+
+def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    top = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)
+
+
+class Likelihood:
+    """The conditional likelihood of some cases' segmentations, and its gradient.
+
+    All cases advance together, token by token, longest first.  Segments that
+    look alike, that is with the same features, are scored once.
+    """
+
+    def __init__(self, cases: list[Case]) -> None:
+        cases = sorted(cases, key=lambda c: (-len(c[1]), c))
+        self.length = np.array([len(limits) - 1 for _, limits, _ in cases])
+        self.last = int(self.length[0]) if len(cases) else 0
+        self.active = [int((self.length >= e).sum()) for e in range(self.last + 1)]
+        looks: dict[tuple[str, ...], int] = {}
+        shapes: dict[str, int] = {}
+        # by end: for each active case and size, what the segment looks like; and each token's shape
+        self.look = [np.zeros((self.active[e], min(LONGEST, e)), np.int64) for e in range(self.last + 1)]
+        self.shape = [np.zeros(self.active[e], np.int64) for e in range(self.last + 1)]
+        types = len(KINDS) + 1
+        self.seen_moves = np.zeros((types, types))
+        seen_looks: list[tuple[int, int]] = []
+        seen_shapes: list[int] = []
+        for i, (text, limits, truth) in enumerate(cases):
+            for end in range(1, len(limits)):
+                self.shape[end][i] = shapes.setdefault(_shape(text[limits[end - 1]]), len(shapes))
+                for size in range(1, min(LONGEST, end) + 1):
+                    found = ("", *features(text, limits[end - size], limits[end]))
+                    self.look[end][i, size - 1] = looks.setdefault(found, len(looks))
+            before = -1
+            for start, kind, end in truth:
+                self.seen_moves[before + 1, kind + 1] += 1
+                before = kind
+                if kind < 0:
+                    seen_shapes.append(self.shape[end][i])
+                else:
+                    seen_looks.append((self.look[end][i, end - start - 1], kind))
+        self.shapes, self.names = list(shapes), sorted({f for look in looks for f in look})
+        place = {f: i for i, f in enumerate(self.names)}
+        self.flat = np.array([place[f] for look in looks for f in look], np.int64)
+        self.owner = np.repeat(np.arange(len(looks)), [len(look) for look in looks])
+        self.n_looks = len(looks)
+        counts = np.zeros((self.n_looks, len(KINDS)))
+        for look, kind in seen_looks:
+            counts[look, kind] += 1
+        self.seen = self._by_feature(counts)
+        self.seen_shapes = np.bincount(np.array(seen_shapes, np.int64), minlength=len(shapes)).astype(float)
+
+    def _by_feature(self, by_look: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.flat, by_look[self.owner, k], len(self.names)) for k in range(len(KINDS))], axis=1)
+
+    def sizes(self) -> list[tuple[int, ...]]:
+        return [(len(self.names), len(KINDS)), (len(self.shapes),), (len(KINDS) + 1, len(KINDS) + 1)]
+
+    def unpack(self, x: np.ndarray) -> list[np.ndarray]:
+        out, at = [], 0
+        for shape in self.sizes():
+            n = int(np.prod(shape))
+            out.append(x[at : at + n].reshape(shape))
+            at += n
         return out
 
+    def partition(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The logarithm of each case's sum over all segmentations, and the expected counts of all weights."""
+        weight, other, move = self.unpack(x)
+        types, n = len(KINDS) + 1, len(self.length)
+        look_score = np.stack([np.bincount(self.owner, weight[self.flat, k], self.n_looks) for k in range(len(KINDS))], axis=1)
+        score: list[np.ndarray] = []
+        for e in range(self.last + 1):
+            own = np.full((self.active[e], min(LONGEST, e), types), -np.inf)
+            if e:
+                own[:, :, 1:] = look_score[self.look[e]]
+                own[:, 0, 0] = other[self.shape[e]]
+            score.append(own)
+        first = np.full((n, types), -np.inf)
+        first[:, 0] = 0.0
+        alpha = [first]
+        into = [_logsum(first[:, :, None] + move, 1)]  # by the type that follows
+        for e in range(1, self.last + 1):
+            m = self.active[e]
+            steps = np.stack([into[e - size][:m] + score[e][:, size - 1] for size in range(1, min(LONGEST, e) + 1)], axis=1)
+            alpha.append(_logsum(steps, 1))
+            into.append(_logsum(alpha[e][:, :, None] + move, 1))
+        total = np.zeros(n)
+        beta = [np.zeros((self.active[e], types)) for e in range(self.last + 1)]
+        looks, shapes, moves = np.zeros((self.n_looks, types - 1)), np.zeros(len(self.shapes)), np.zeros((types, types))
+        for e in range(self.last, -1, -1):
+            m = self.active[min(e + 1, self.last)] if e < self.last else 0  # cases that go on after e
+            ends = slice(m, self.active[e])
+            total[ends] = _logsum(alpha[e][ends], 1)
+            if m:
+                onward = np.full((m, min(LONGEST, self.last - e), types), -np.inf)
+                for size in range(1, onward.shape[1] + 1):
+                    k = self.active[e + size]
+                    onward[:k, size - 1] = score[e + size][:, size - 1] + beta[e + size]
+                go = _logsum(onward, 1)
+                beta[e][:m] = _logsum(move + go[:, None, :], 2)
+        for e in range(self.last, -1, -1):
+            m, z = self.active[e], total[: self.active[e]]
+            for size in range(1, min(LONGEST, e) + 1):
+                share = np.exp(into[e - size][:m] + score[e][:, size - 1] + beta[e] - z[:, None])
+                for k in range(types - 1):
+                    looks[:, k] += np.bincount(self.look[e][:, size - 1], share[:, k + 1], self.n_looks)
+                if size == 1:
+                    shapes += np.bincount(self.shape[e], share[:, 0], len(self.shapes))
+            m = self.active[e + 1] if e < self.last else 0
+            if m:
+                onward = np.full((m, min(LONGEST, self.last - e), types), -np.inf)
+                for size in range(1, onward.shape[1] + 1):
+                    k = self.active[e + size]
+                    onward[:k, size - 1] = score[e + size][:, size - 1] + beta[e + size]
+                go = _logsum(onward, 1)
+                moves += np.exp(alpha[e][:m, :, None] + move + go[:, None, :] - total[:m, None, None]).sum(axis=0)
+        return total, [self._by_feature(looks), shapes, moves]
+
+    def loss(self, x: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+        """The penalised negative log likelihood and its gradient."""
+        total, expected = self.partition(x)
+        seen = np.concatenate([self.seen.ravel(), self.seen_shapes, self.seen_moves.ravel()])
+        gradient = np.concatenate([e.ravel() for e in expected]) - seen
+        return float(total.sum() - x @ seen + penalty / 2 * (x @ x)), gradient + penalty * x
+
+
+def minimised(f, x: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
+    """Limited-memory BFGS with halving steps."""
+    value, gradient = f(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        q, kept = gradient.copy(), []
+        for s, y, r in reversed(past):
+            kept.append(a := r * (s @ q))
+            q -= a * y
+        q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, float(np.abs(gradient).sum()))
+        for (s, y, r), a in zip(past, reversed(kept), strict=True):
+            q += (a - r * (y @ q)) * s
+        slope, step = float(gradient @ q), 1.0
+        while step > 1e-6:
+            there, g = f(x - step * q)
+            if there <= value - 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        s, y = -step * q, g - gradient
+        small = value - there < 1e-5 * max(1.0, abs(value))
+        x, value, gradient = x + s, there, g
+        if s @ y > 1e-10:
+            past = [*past[1 - memory :], (s, y, 1 / (s @ y))]
+        if small:
+            break
+    return x
+
 
 def _pieces(limits: list[int], spans: list[tuple[int, int, int]]) -> Iterator[list[int]]:
     """A zone's tokens in training cases, cut between spans only."""
@@ -258,33 +439,32 @@ def _variants(text: str, start: int, end: int, spans: list[tuple[int, int, int]]
             yield other, 6, len(other), [(6, 3, len(other))]
 
 
-def train(texts: list[str], passes: int = 4) -> SemiMarkov:
-    """An averaged structured perceptron over all zones of these texts."""
-    cases = []
-    for text in texts:
-        spans = base_spans(text)
-        for start, end in zones(text):
-            inside = [x for x in spans if x[0] >= start and x[2] <= end]
-            for t, s, e, own in _variants(text, start, end, inside):
-                for limits in _pieces(tokens(t, s, e), own):
-                    truth = _truth(limits, [x for x in own if limits[0] <= x[0] and x[2] <= limits[-1]])
-                    if truth is not None:
-                        cases.append((t, limits, truth))
-    model, total, step = SemiMarkov(), defaultdict(float), 1
-    weights: dict[str, float] = defaultdict(float)
-    model.weights = weights
-    for _ in range(passes):
-        for text, limits, truth in cases:
-            got = model.decode(text, limits)
-            if got != truth:
-                change = SemiMarkov.describe(text, limits, truth)
-                change.subtract(SemiMarkov.describe(text, limits, got))
-                for k, v in change.items():
-                    if v:
-                        weights[k] += v
-                        total[k] += step * v
-            step += 1
-    return SemiMarkov({k: v - total[k] / step for k, v in weights.items() if v - total[k] / step})
+def cases_of(text: str) -> Iterator[Case]:
+    """A text's zones, with and without their marks, cut into pieces with the right segmentation of each."""
+    spans = base_spans(text)
+    for start, end in zones(text):
+        inside = [x for x in spans if x[0] >= start and x[2] <= end]
+        for t, s, e, own in _variants(text, start, end, inside):
+            for limits in _pieces(tokens(t, s, e), own):
+                if limits[-1] - limits[0] > MAX_CHARS:
+                    continue
+                truth = _truth(limits, [x for x in own if limits[0] <= x[0] and x[2] <= limits[-1]])
+                if truth is not None:
+                    a = max(0, limits[0] - CONTEXT)
+                    yield t[a : limits[-1] + 2], [x - a for x in limits], truth
+
+
+def train(cases: list[Case], penalty: float = 0.3, rounds: int = 60) -> SemiMarkov:
+    """The weights of the greatest penalised likelihood; without cases all are zero."""
+    if not cases:
+        return SemiMarkov()
+    likelihood = Likelihood(cases)
+    x = minimised(lambda v: likelihood.loss(v, penalty), np.zeros(sum(int(np.prod(s)) for s in likelihood.sizes())), rounds)
+    weight, other, move = likelihood.unpack(x)
+    out = {f"{k}|{f}": float(weight[i, k]) for i, f in enumerate(likelihood.names) for k in range(len(KINDS))}
+    out |= {f"o|{c}": float(v) for c, v in zip(likelihood.shapes, other, strict=True)}
+    out |= {f"{a - 1}>{b - 1}": float(move[a, b]) for a in range(len(move)) for b in range(len(move))}
+    return SemiMarkov({k: v for k, v in out.items() if v})
 
 
 def find(text: str, model: SemiMarkov) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -306,23 +486,41 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def sample_texts(docs: DataFrame, id_col: str, text_col: str, most: int) -> list[str]:
-    """At most ``most`` whole texts with something like personal data, those of the least hashes.
+def _case_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rb in batches:
+        rows = []
+        for text in rb.column(0):
+            for own, limits, truth in cases_of(text.as_py() or ""):
+                kind = next((k for _, k, _ in truth if k >= 0), -1)
+                rows.append((kind, own, limits, [x for segment in truth for x in segment]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.array([r[3] for r in rows], pa.list_(pa.int32()))],
+            names=["kind", "text", "limits", "truth"],
+        )
 
-    The hashes are ordered without the texts, and only the sampled texts are sent.
+
+def sample_cases(docs: DataFrame, id_col: str, text_col: str, max_texts: int = MAX_TEXTS, max_cases: int = MAX_CASES) -> list[Case]:
+    """Training cases of the ``max_texts`` texts of the least hashes, and of their pieces those of the least hashes.
+
+    The hashes are ordered without the texts, and only pieces leave the executors.
     """
-    some = docs.where(F.col(text_col).rlike(r"@|[0-9][0-9 ().-]{6}")).select(F.xxhash64(id_col, F.length(text_col)).alias("h"), F.col(text_col).alias("t"))
-    least = [r.h for r in some.select("h").orderBy("h").limit(most).collect()]
+    some = docs.where(F.col(text_col).rlike(MAYBE)).select(F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"), F.col(text_col).alias("t"))
+    least = [r.h for r in some.select("h").distinct().orderBy("h").limit(max_texts).collect()]
     if not least:
         return []
-    rows = some.where(F.col("h") <= least[-1]).limit(most).collect()
-    return [r.t for r in sorted(rows)]
+    rows = some.where(F.col("h") <= least[-1]).select("t").mapInArrow(_case_rows, "kind int, text string, limits array<int>, truth array<int>")
+    rows = Scratch(docs.sparkSession, "personal").keep(rows.distinct(), "cases")
+    out: list[Case] = []
+    for kind in range(-1, len(KINDS)):
+        own = rows.where(F.col("kind") == kind).orderBy(F.xxhash64("text", "limits"), "text", "limits", "truth").limit(max_cases)
+        out += [(r.text, r.limits, [tuple(r.truth[i : i + 3]) for i in range(0, len(r.truth), 3)]) for r in own.collect()]
+    return out
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_training: int = MAX_TRAINING) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_texts: int = MAX_TEXTS, max_cases: int = MAX_CASES) -> DataFrame:
     """One row per document: id, counts of base spans by kind, base (joined), spans (joined, all)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    model = train(sample_texts(docs, id_col, text_col, max_training))
+    model = train(sample_cases(docs, id_col, text_col, max_texts, max_cases))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -335,7 +533,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 spans.append(_joined(every))
             yield pa.RecordBatch.from_arrays([rb.column(0), *(pa.array(x, pa.int64()) for x in n), pa.array(base, pa.string()), pa.array(spans, pa.string())], names=["id", *(f"n_{k}" for k in KINDS), "base", "spans"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string")
+    # Texts that can have no span stay in the JVM.
+    text = F.when(F.col(text_col).rlike(MAYBE), F.col(text_col))
+    out = docs.select(F.col(id_col).alias("id"), text.alias("text")).mapInArrow(run, f"id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -162,3 +162,45 @@ def test_scratch_is_dropped(spark, tmp_path):
 def test_pairs_without_window(spark):
     rows = spark.createDataFrame([(1, "e", 1), (2, "e", 30), (3, "f", 1)], "doc_id long, ne string, day int")
     assert {tuple(r) for r in shared_entity_pairs(rows, 40).collect()} == {(1, 2)}
+
+
+def test_selected_features(spark):
+    """Greedy selection by AIC, step by step with least squares; a feature that others explain is left out."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 3))
+    x = np.column_stack([x, x[:, 0] + x[:, 1] + 0.01 * rng.normal(size=80)])
+    y = 2 * x[:, 0] - x[:, 1] + 0.5 * rng.normal(size=80)
+    names = ["a", "b", "c", "d"]
+    chosen, path = M.select_features(spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)], [*names, "y"]), names, "y")
+
+    def aic(at):
+        design = np.column_stack([np.ones(80), *(x[:, i] for i in at)])
+        rss = ((y - design @ np.linalg.lstsq(design, y, rcond=None)[0]) ** 2).sum()
+        return 80 * np.log(rss / 80) + 2 * (len(at) + 1)
+
+    want, left, steps = [], [0, 1, 2], [aic([])]
+    while left and aic([*want, best := min(left, key=lambda i: aic([*want, i]))]) < steps[-1]:
+        want.append(best)
+        left.remove(best)
+        steps.append(aic(want))
+    assert chosen == [names[i] for i in want] and path == pytest.approx(steps, abs=1e-6)
+
+
+def test_label_propagation(spark):
+    """Three rounds by hand-written loops."""
+    from collections import defaultdict
+
+    from weftline.operators.network import label_propagation
+
+    rng = random.Random(5)
+    edges = sorted({tuple(sorted(rng.sample(range(14), 2))) for _ in range(25)})
+    rows = [(a, b, float(1 + (a * b) % 4)) for a, b in edges]
+    label = {v: v for e in edges for v in e}
+    for _ in range(3):
+        votes = defaultdict(lambda: defaultdict(float))
+        for a, b, w in rows:
+            votes[a][label[b]] += w
+            votes[b][label[a]] += w
+        label = {v: min(votes[v], key=lambda k: (-votes[v][k], k)) for v in label}
+    got = {r.c: r.community for r in label_propagation(spark.createDataFrame(rows, "c1 long, c2 long, weight double")).collect()}
+    assert got == label

@@ -209,7 +209,7 @@ def clashing(spark):
     """Repeated rows, nulls, and columns named like the operators' own."""
     copy, item = words(1, 80), words(2, 40)
     rows = [(1, copy), (2, copy), (2, copy), (3, copy + " end"), (4, item), (4, item), (None, "alone"), (None, "alone"), (5, None), (6, ""), (7, words(9, 30))]
-    names = ["__sha", "__keep", "__gone", "__bad", "__key", "__row", "__part", "n_tokens", "__source", "a.b"]
+    names = ["__sha", "__keep", "__gone", "__bad", "__key", "__row", "__part", "n_tokens", "__source", "__s", "__room", "a.b"]
     return spark.createDataFrame([(i, t, "s", *range(len(names))) for i, t in rows], "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
 
 

@@ -35,7 +35,7 @@ REPEATS = 4.0
 BLOCK_TOKENS = 4096
 #: The permuting hash has 32 bits; its first 12 name a range.
 _RANGES, _RANGE_BITS = 1 << 12, 20
-#: Rows of chosen blocks up to which they are broadcast to the documents, about 100 bytes each; beyond that the documents are shuffled to them.
+#: Rows of chosen blocks up to which they are broadcast to the documents, about 250 bytes each; beyond that the documents are shuffled to them.
 MOST_BROADCAST = 400_000
 #: Halvings of the exponent's range: 4 in each of 10 aggregations.
 _STEPS, _PARTS = 10, 16
@@ -94,8 +94,12 @@ def exponent(sources: DataFrame, budget: float, entropy: float, repeats: float)
 def source_weights(docs: DataFrame, source_col: str = "source", text_col: str = "text", *, budget: float | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, block_tokens: int = BLOCK_TOKENS, scratch: Scratch | None = None) -> DataFrame:
     """One row per source with tokens: source, n, p, weight, quota, passes, rest, blocks."""
     scratch = scratch or Scratch(docs.sparkSession, "mix")
-    counted = docs.select(F.col(source_col).alias("source"), tokens(F.col(text_col)).alias("t")).groupBy("source").agg(F.sum("t").alias("n"))
-    counted = scratch.keep(counted.where("n > 0"), "sources")
+    return weights_of(docs.select(F.col(source_col).alias("source"), tokens(F.col(text_col)).alias("t")), scratch, budget=budget, entropy=entropy, repeats=repeats, block_tokens=block_tokens)
+
+
+def weights_of(rows: DataFrame, scratch: Scratch, *, budget: float | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``source_weights`` of rows of source and t, their numbers of tokens."""
+    counted = scratch.keep(rows.groupBy("source").agg(F.sum("t").alias("n")).where("n > 0"), "sources")
     total = counted.agg(F.sum("n")).first()[0] or 0
     budget = float(total if budget is None else budget)
     shares = counted.withColumn("p", F.col("n") / F.lit(float(max(total, 1))))
@@ -123,13 +127,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     place in its source's quota, interleaves the sources by weight.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    weights = source_weights(docs, source_col, text_col, scratch=scratch, **how)
+    # Texts are split twice: here, into a narrow table, and where a document is taken.
+    rows = scratch.keep(docs.select(F.col(source_col).alias("source"), _hash(seed, F.col(id_col)).alias("h"), tokens(F.col(text_col)).alias("t")), "tokens")
+    weights = weights_of(rows, scratch, **how)
     made = ["n_tokens", "weight", "pass", "block", "mix_pos"]
     docs = docs.drop(*made)
     w = weights.withColumnRenamed("source", "s")
     # Sources are a dimension table: some hundreds of rows at most in practice; the optimizer broadcasts it by its size.
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), tokens(F.col(text_col)).alias("t"))
-    dealt = rows.join(w.select("s", "blocks"), rows.src.eqNullSafe(w.s)).select("id", "src", "t", F.pmod(_hash(seed, F.col("id")), F.col("blocks")).alias("block"))
+    rows = rows.withColumnRenamed("source", "src")
+    dealt = rows.join(w.select("s", "blocks"), rows.src.eqNullSafe(w.s)).select("src", "t", F.pmod("h", "blocks").alias("block"))
     sums = dealt.groupBy("src", "block").agg(F.sum("t").alias("bt"))
     sums = scratch.keep(w.join(sums, w.s.eqNullSafe(sums.src)).select("src", "block", "bt", "weight", "quota", "n", "passes", "rest"), "sums")
     each = sums.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes")))).withColumn("h", _hash(seed, "block", F.col("block"), F.col("pass"))).withColumn("range", F.shiftright("h", _RANGE_BITS))
@@ -148,17 +154,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     own = {n: unused(n, docs, each) for n in ("__source", "__tokens", "__block", "__blocks")}
     source, t, block, blocks = own.values()
     w = w.select(F.col("s").alias(source), F.col("blocks").alias(blocks))
-    placed = docs.join(w, F.col(source_col).eqNullSafe(F.col(source))).withColumns({t: tokens(F.col(text_col)), block: F.pmod(_hash(seed, F.col(id_col)), F.col(blocks))})
+    placed = docs.join(w, F.col(source_col).eqNullSafe(F.col(source))).withColumns({block: F.pmod(_hash(seed, F.col(id_col)), F.col(blocks))})
     taking = each if each.count() > MOST_BROADCAST else F.broadcast(each)
-    taking = taking.select(*(F.col(c).alias(f"__{c}") for c in ("s", "b", "weight", "p", "place", "room")))
-    taken = placed.join(taking, F.col(source).eqNullSafe(F.col("__s")) & (F.col(block) == F.col("__b")))
-    whole = taken.where("__room IS NULL")
+    at = {c: unused(f"__{c}", placed) for c in each.columns}
+    taking = taking.withColumnsRenamed(at)
+    s, b, weight, p, place, room = (F.col(at[c]) for c in ("s", "b", "weight", "p", "place", "room"))
+    taken = placed.join(taking, F.col(source).eqNullSafe(s) & (F.col(block) == b))
+    whole, limit = (rows.withColumn(t, tokens(F.col(text_col))) for rows in (taken.where(room.isNull()), taken.where(room.isNotNull())))
     # The documents of the block at the limit: one block of a source, of about block_tokens tokens or one document.
-    inner = W.partitionBy(source, block, "__p").orderBy(_hash(seed, "doc", F.col(id_col), F.col("__p")), F.col(id_col))
-    upto = unused("__upto", taken)
-    part = taken.where("__room IS NOT NULL").withColumn(upto, F.sum(t).over(inner.rangeBetween(W.unboundedPreceding, 0))).where(F.col(upto) <= F.col("__room")).where(F.col(t) > 0).drop(upto)
+    inner = W.partitionBy(source, block, p).orderBy(_hash(seed, "doc", F.col(id_col), p), F.col(id_col))
+    upto = unused("__upto", limit)
+    part = limit.withColumn(upto, F.sum(t).over(inner.rangeBetween(W.unboundedPreceding, 0))).where((F.col(upto) <= room) & (F.col(t) > 0)).drop(upto)
     out = whole.unionByName(part)
-    return out.select(*quoted(*docs.columns), F.col(t).alias("n_tokens"), F.round("__weight", 9).alias("weight"), F.col("__p").cast("long").alias("pass"), F.col(block).alias("block"), F.round("__place", 9).alias("mix_pos"))
+    return out.select(*quoted(*docs.columns), F.col(t).alias("n_tokens"), F.round(weight, 9).alias("weight"), p.cast("long").alias("pass"), F.col(block).alias("block"), F.round(place, 9).alias("mix_pos"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,6 +172,48 @@ def test_symbols_agree_everywhere():
     assert len(found[0]) >= 4 and all(f == found[0] for f in found)
 
 
+def test_substring_copies_share_anchors(spark, tmp_path):
+    """Equal windows have anchors of one name at one place, also where they overlap; of each kind of repeat none is lost."""
+    from weftline.llm import recompress as rc
+
+    rng, rows = random.Random(5), []
+    for i in range(40):
+        period = " ".join(f"p{rng.randrange(10**6)}" for _ in range(rng.choice([1, 2, 5, 7, 20])))
+        rows.append((i, f"{words(i % 9, rng.choice([34, 35, 36, 50]), 10**6)} {period} {period} {period} {words(50 + i, 20, 3)} {(period + ' ') * rng.choice([3, 10, 40])}", "a"))
+    batch = wh.split(pa.array([t for _, t, _ in rows]), wh.RAW)
+    s = rc.parse(batch.hash, batch.first, substring.ROUNDS, substring.LONGEST)
+    anchor, last, seen = rc.anchors(s, batch.first, 35), np.repeat(batch.first[1:], batch.counts()), {}
+    assert len(anchor) == len(batch.hash) and (anchor >= 0).mean() > 0.3
+    for i, k in enumerate(anchor.tolist()):
+        if i + 35 > last[i]:
+            assert k < 0
+        else:
+            own = (int(s.name[k]), int(s.start[k]) - i) if k >= 0 else None
+            assert seen.setdefault(batch.hash[i : i + 35].tobytes(), own) == own
+    assert len(seen) < len(anchor) - 100
+    con = folder(table(spark, rows), tmp_path)
+    same(substring.op5_substring_dedup(spark, str(tmp_path)), con, substring.ORACLE_SQL["op5_substring_dedup"])
+
+
+def test_substring_drops_shuffles_between_phases(spark, monkeypatch):
+    """After each phase the shuffles that wrote its output are gone, so their files don't add up."""
+    from weftline.plans.scratch import Scratch
+
+    shuffles = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    last = lambda: max((int(str(k)) for k in str(shuffles().keys().mkString(" ")).split()), default=-1)
+    left, settle = [], Scratch.settle
+
+    def watched(self):
+        settle(self)
+        left.append(last() > before)
+
+    monkeypatch.setattr(Scratch, "settle", watched)
+    docs = table(spark, [(i, words(i % 7, 80), "a") for i in range(30)]).localCheckpoint()
+    before = last()
+    assert substring.drop_repeats(docs).where("n_removed = 80").count() == 30
+    assert left == [False] * 3
+
+
 def test_word_hashes_of_made_up_words():
     """Long words that share a polynomial modulo 2**64 whatever its base; the second polynomial tells them apart."""
     a = "a"

@@ -79,20 +79,38 @@ def parse(hashes: np.ndarray, first: np.ndarray, rounds: int, longest: int) -> S
     return s
 
 
-def anchors(s: Symbols, first: np.ndarray, window: int) -> np.ndarray:
-    """Which symbols depend on at most ``window`` words, all inside their document."""
-    counts = np.diff(first)
-    begin, end = np.repeat(first[:-1], counts), np.repeat(first[1:], counts)
-    return (s.high - s.low <= window) & (s.low >= begin[s.start]) & (s.high <= end[s.start])
+#: Symbols whose windows are marked at a time.
+_AT_ONCE = 1 << 17
+
 
+def anchors(s: Symbols, first: np.ndarray, window: int) -> np.ndarray:
+    """For each word, the anchor of the window that starts there, or -1: a place in ``s``.
 
-def unproven(s: Symbols, first: np.ndarray, window: int, sole: np.ndarray) -> np.ndarray:
+    That is, of the symbols that depend on words inside the window only, the
+    longest, of these the one of the greatest scrambled name, and of equal ones
+    the last.  Copies of a window hold the same such symbols at the same places,
+    so all have the same anchor.
+    """
+    out = np.full(int(first[-1]), -1, np.int64)
+    counts = np.diff(first)
+    begin, last = np.repeat(first[:-1], counts), np.repeat(first[1:], counts) - window
+    low, high = np.maximum(s.high - window, begin[s.start]), np.minimum(s.low, last[s.start])  # starts of the windows around a symbol
+    some = np.flatnonzero(high >= low)
+    rank = ((s.end - s.start)[some].astype(U64) << U64(56)) | (mix(s.name[some]) >> U64(8))
+    order = some[np.argsort(rank, kind="stable")]
+    for i in range(0, len(order), _AT_ONCE):
+        part = order[i : i + _AT_ONCE]
+        n = high[part] - low[part] + 1
+        out[np.arange(int(n.sum())) + np.repeat(low[part] - (np.cumsum(n) - n), n)] = np.repeat(part, n)  # the last one stays
+    return out
+
+
+def unproven(anchor: np.ndarray, first: np.ndarray, window: int, sole: np.ndarray) -> np.ndarray:
     """For each word, whether the window that starts there may have a copy.
 
-    sole: the anchors that occur once.  A window around such an anchor's span has
-    no copy; any other whole window, also one around no span at all, may have.
+    sole: for each symbol, whether it is an anchor whose name no other anchor
+    has.  A window with such an anchor has no copy, which would have it too; any
+    other whole window, also one without an anchor, may have.
     """
-    n = int(first[-1])
     last = np.repeat(first[1:], np.diff(first))
-    cover = np.bincount(np.maximum(s.high[sole] - window, 0), minlength=n + 1) - np.bincount(s.low[sole] + 1, minlength=n + 1)[: n + 1]
-    return (np.arange(n) + window <= last) & (np.cumsum(cover)[:n] == 0)
+    return (np.arange(len(anchor)) + window <= last) & ~np.append(sole, False)[anchor]

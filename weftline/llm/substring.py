@@ -1,10 +1,12 @@
 """Removal of repeated passages by recompression.
 
-1. Each document is parsed into symbols (see recompress).  An anchor is a symbol
-   that depends on words inside one window only; one aggregation over all
-   anchor names finds those that occur once in the corpus, with their place.
-2. A window around an anchor that occurs once has no copy.  All other windows
-   are candidates: the shared anchors reveal them, and windows without anchors
+1. Each document is parsed into symbols (see recompress).  A window's anchor is
+   one of the symbols that depend on words inside it only, chosen by these
+   symbols alone, so copies of a window have the same anchor; one aggregation
+   over all anchor names finds those that occur once in the corpus, with their
+   place.
+2. A window whose anchor occurs once has no copy.  All other windows are
+   candidates: the shared anchors reveal them, and windows without an anchor
    are always among them, so no repeat is lost.
 3. A second aggregation over BLAKE2 digests of the candidate windows' words
    verifies them: a candidate that occurs once is struck out, again with its
@@ -14,7 +16,9 @@
 
 Both aggregations combine on the map side and keep only what occurs once, so a
 passage that a third of all documents share is a row per task, and nothing is
-joined back by content.  Documents are joined with their own lists by row key.
+joined back by content.  A place is a row's id and one number of its text's
+hash and the place in it: what is moved most has few and short columns, and the
+greatest place of one row is its own.  Documents are joined with their own lists by row key.
 
 Defined results: null and blank texts have no words; texts shorter than the
 window keep all words; rows that repeat id and text are occurrences of their
@@ -64,16 +68,20 @@ def _ints(col: pa.Array, i: int) -> np.ndarray:
     value = col[i].as_py()
     return np.zeros(0, np.int64) if value is None else np.asarray(value, np.int64)
 
+def _places(th: pa.Array, doc: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A text's hash and a place in it as one number."""
+    return pa.array((th.to_numpy().astype(np.int64)[doc] << 32) | at)
+
 def _emit_anchors(window: int, rounds: int, longest: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for rb in wh.slices(whole, 2):
                 batch, s, at = _parsed(rb, window, rounds, longest, bits)
-                good = rc.anchors(s, batch.first, window)
-                doc = np.repeat(np.arange(rb.num_rows), np.diff(at))[good]
-                order = (np.arange(len(s.name)) - np.repeat(at[:-1], np.diff(at)))[good]
-                rows = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([rb.column(0).take(rows), rb.column(1).take(rows), pa.array(s.name[good].view(np.int64)), pa.array(order.astype(np.int32))], names=["id", "th", "name", "at"])
+                chosen = np.zeros(len(s.name) + 1, bool)
+                chosen[rc.anchors(s, batch.first, window)] = True
+                good = np.flatnonzero(chosen[:-1])
+                doc = np.searchsorted(at, good, "right") - 1
+                yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(doc)), _places(rb.column(1), doc, good - at[doc]), pa.array(s.name[good].view(np.int64))], names=["id", "place", "name"])
 
     return run
 
@@ -83,7 +91,7 @@ def _candidates(rb: pa.RecordBatch, window: int, rounds: int, longest: int, bits
     sole = np.zeros(len(s.name), bool)
     for i in range(rb.num_rows):
         sole[at[i] + _ints(rb.column(3), i)] = True
-    return batch, rc.unproven(s, batch.first, window, sole)
+    return batch, rc.unproven(rc.anchors(s, batch.first, window), batch.first, window, sole)
 
 def _emit_windows(window: int, rounds: int, longest: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,8 +101,7 @@ def _emit_windows(window: int, rounds: int, longest: int, bits: int):
                 at = np.flatnonzero(may)
                 doc = np.searchsorted(batch.first, at, "right") - 1
                 w1, w2 = window_digests(batch, at, window)
-                rows = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([rb.column(0).take(rows), rb.column(1).take(rows), pa.array(w1.copy()), pa.array(w2.copy()), pa.array((at - batch.first[doc]).astype(np.int32))], names=["id", "th", "w1", "w2", "at"])
+                yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(doc)), _places(rb.column(1), doc, at - batch.first[doc]), pa.array(w1.copy()), pa.array(w2.copy())], names=["id", "place", "w1", "w2"])
 
     return run
 
@@ -120,6 +127,11 @@ def _strike(window: int, rounds: int, longest: int, bits: int):
 
     return run
 
+def _alone(rows: DataFrame, *keys: str) -> DataFrame:
+    """The places of keys that occur once."""
+    once = rows.groupBy(*keys).agg(F.max("id").alias("id"), F.max("place").alias("place"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    return once.select("id", F.shiftright("place", 32).cast("int").alias("th"), F.col("place").bitwiseAND(0x7FFFFFFF).cast("int").alias("at"))
+
 def _lists(rows: DataFrame, name: str) -> DataFrame:
     """A document's own places as one list; its length is bounded by the document's."""
     return rows.groupBy("id", "th").agg(F.collect_set("at").alias(name))
@@ -137,17 +149,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(docs.sparkSession, "substring")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("th"), text.alias("text"))
-
-    place = [F.first("id").alias("id"), F.first("th").alias("th"), F.first("at").alias("at")]
-
-    names = rows.mapInArrow(_emit_anchors(*how), "id long, th int, name long, at int")
-    sole = names.groupBy("name").agg(*place, F.count(F.lit(1)).alias("n")).where("n = 1").select("id", "th", "at")
-    sole = scratch.keep(_lists(sole, "sole"), "sole")
+    names = rows.mapInArrow(_emit_anchors(*how), "id long, place long, name long")
+    sole = scratch.keep(_lists(_alone(names, "name"), "sole"), "sole")
     scratch.settle()
     marked = _beside(rows, sole, "left").select("id", "th", "text", "sole")
-    windows = marked.mapInArrow(_emit_windows(*how), "id long, th int, w1 long, w2 long, at int")
-    single = windows.groupBy("w1", "w2").agg(*place, F.count(F.lit(1)).alias("n")).where("n = 1").select("id", "th", "at")
-    single = scratch.keep(_lists(single, "single"), "single")
+    windows = marked.mapInArrow(_emit_windows(*how), "id long, place long, w1 long, w2 long")
+    single = scratch.keep(_lists(_alone(windows, "w1", "w2"), "single"), "single")
     scratch.settle()
     both = scratch.keep(
         sole.select("id", "th", "sole", F.lit(None).cast("array<int>").alias("single")).unionByName(single.select("id", "th", F.lit(None).cast("array<int>").alias("sole"), "single"))

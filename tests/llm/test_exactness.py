@@ -77,6 +77,14 @@ def test_crf_learns():
         assert base == [] and [k for _, k, _ in every] == [kind]
 
 
+def test_crf_trains_on_texts():
+    """A text stands for its cases; one without zones, or none at all, adds nothing."""
+    texts = ["write jo@example.com now", "nothing here", "call +1 (171) 555-2028 or 10.0.0.1", ""]
+    own = [c for t in texts for c in pii.cases_of(t)]
+    assert len(own) > 3 and pii.train(texts).weights == pii.train(own).weights == pii.train([texts[0], *own[len(list(pii.cases_of(texts[0]))):]]).weights != {}
+    assert pii.train(["", "nothing here"]).weights == pii.train([]).weights == {}
+
+
 @pytest.mark.parametrize("size", [3, 66, 90, 5000])
 def test_pii_long_names(size):
     """An address of any length is one zone, from its first letter."""

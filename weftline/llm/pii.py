@@ -455,8 +455,12 @@ def cases_of(text: str) -> Iterator[Case]:
                     yield t[a : limits[-1] + 2], [x - a for x in limits], truth
 
 
-def train(cases: list[Case], penalty: float = 0.3, rounds: int = 60) -> SemiMarkov:
-    """The weights of the greatest penalised likelihood; without cases all are zero."""
+def train(examples: list[str | Case], penalty: float = 0.3, rounds: int = 60) -> SemiMarkov:
+    """The weights of the greatest penalised likelihood; without cases all are zero.
+
+    A text stands for all its cases.
+    """
+    cases = [c for x in examples for c in (cases_of(x) if isinstance(x, str) else [x])]
     if not cases:
         return SemiMarkov()
     likelihood = Likelihood(cases)

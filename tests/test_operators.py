@@ -3,18 +3,25 @@
 import itertools
 import math
 import random
+import re
+
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
 from weftline.operators import candidates as C
 from weftline.operators import graphs as G
+from weftline.operators import meeting as ME
 from weftline.operators import models as M
 from weftline.operators import outlets as O
 from weftline.operators import stats as ST
 from weftline.operators.pairs import shared_entity_pairs
+from weftline.operators.together import together
 from weftline.plans.pruning import among, unused
 from weftline.plans.scratch import Scratch, discarded
 
@@ -42,6 +49,89 @@ def test_similar_pairs(spark, least, same):
     assert (want or least == 1.0) and got == want
 
 
+def meetings(spark, seed, block, **asked):
+    """Pairs of random documents that meet at their best entities, and of all pairs what they share by brute force."""
+    rng = random.Random(seed)
+    own = {i: (lang, day, {e: rng.randrange(1, 4) for e in words}) for i, (lang, day, words) in bags(seed, n=90).items()}
+    bag = spark.createDataFrame([(i, lang, day, e, c) for i, (lang, day, v) in own.items() for e, c in v.items()], "doc_id long, lang string, day int, ne string, cnt long")
+    scratch = Scratch(spark, "test")
+    docs = ME.vectors(bag, spark.range(500), scratch, best=3, stop=1)
+    meet = {r.doc_id: {*r.meets} for r in docs.collect()}
+    found = ME.met(docs, F.col("meets"), ME.Meeting(**{"articles": 500, "mean": 7.0} | asked), scratch, block)
+    want = {}
+    for (a, (la, da, x)), (b, (lb, db, y)) in itertools.combinations(own.items(), 2):
+        if abs(da - db) <= 5 and meet[a] & meet[b]:
+            want[a, b] = (la, lb, x, y)
+    return own, found, want
+
+
+@pytest.mark.parametrize("block", [4096, 5])
+def test_met_sums(spark, block):
+    """Each pair once, also where an entity's documents are dealt in blocks, with sums over all that it shares."""
+    own, found, want = meetings(spark, 3, block, sums=("same", "weight", "dot", "tfidf", "bm25"), beside=("lang",))
+    got = found.collect()
+    assert len(got) == len({(r.doc1, r.doc2) for r in got}) == len(want) > 50
+    df = {e: sum(e in v for _, _, v in own.values()) for _, _, x in own.values() for e in x}
+    for r in got:
+        la, lb, x, y = want[r.doc1, r.doc2]
+        both = x.keys() & y.keys()
+        total = sum(x.values()) + sum(y.values())
+        tf = {e: (x[e] + y[e]) / total for e in both}
+        idf = {e: math.log(500 / (1 + df[e])) for e in both}
+        assert (r.both, r.same, r.weight, r.dot, r.lang1, r.lang2) == (len(both), sum(x[e] == y[e] for e in both), sum(x[e] + y[e] for e in both), sum(x[e] * y[e] for e in both), la, lb)
+        assert math.isclose(r.tfidf, sum(tf[e] * idf[e] for e in both))
+        assert math.isclose(r.bm25, sum(idf[e] * tf[e] * 2.2 / (tf[e] + 1.2 * (0.25 + 0.75 * total / 2 / 7.0)) for e in both))
+
+
+@pytest.mark.parametrize("block", [4096, 5])
+def test_met_pairs_and_best(spark, block, monkeypatch):
+    """Pairs alone; those alike enough; and each document's best, when tiles and what is held are small too."""
+    for limits, ok in (({}, lambda *_: True), ({"alike": True, "same": 0.3, "other": 0.2}, lambda la, lb, j: j >= (0.3 if la == lb else 0.2)), ({"alike": True, "other": 0.2}, lambda la, lb, j: la != lb and j >= 0.2)):
+        _, found, want = meetings(spark, 4, block, **limits)
+        got = [(r.doc1, r.doc2) for r in found.collect()]
+        assert sorted(got) == sorted(k for k, (la, lb, x, y) in want.items() if ok(la, lb, len(x.keys() & y.keys()) / len(x.keys() | y.keys())))
+    _, found, want = meetings(spark, 4, block, best=2)
+    rank = F.row_number().over(W.partitionBy("doc").orderBy(F.desc(F.col("both") / (F.col("n1") + F.col("n2") - F.col("both"))), "other"))
+    ways = [(d, o, len(x.keys() & y.keys()) / len(x.keys() | y.keys())) for (a, b), (_, _, x, y) in want.items() for d, o in ((a, b), (b, a))]
+    best = {d: [o for _, o in sorted((-j, o) for e, o, j in ways if e == d)[:2]] for d, _, _ in ways}
+    got = {}
+    for r in found.withColumn("rank", rank).where("rank <= 2").orderBy("doc", "rank").collect():
+        got.setdefault(r.doc, []).append(r.other)
+    assert got == best
+
+
+def test_met_tiles():
+    """A group of more documents than a tile has, and best ones of more than are held at once."""
+    n, of = 2500, ME.Meeting(sums=("both",))
+    lists = lambda: pa.array([[7, 9 + i % 3] for i in range(n)], pa.list_(pa.int32()))
+    t = {"doc_id": pa.array(range(n)), "lang": pa.array(["en"] * n), "tongue": pa.array([""] * n), "ids": lists(), "cnts": lists(), "meets": lists()}
+    t |= {k: pa.array([v] * n, pa.int32()) for k, v in (("key", 7), ("bucket", 0), ("part", 0), ("own", 0), ("day", 3), ("role", 3), ("n", 2))}
+    rows = pa.RecordBatch.from_pydict(t)
+    cut = [rows.slice(i, 700) for i in range(0, n, 700)]
+    assert sum(b.num_rows for b in of(iter(cut))) == n * (n - 1) // 2
+    best = [x for b in ME.Meeting(best=1, beside=("n",))(iter(cut)) for x in zip(b["doc"].to_pylist(), b["other"].to_pylist(), b["both"].to_pylist(), strict=True)]
+    assert {(d, o) for d, o, both in best if both == 2} >= {(d, 0 if d % 3 == 0 and d else d % 3 if d > 2 else d + 3) for d in range(n)} and len(best) < 3 * n
+
+
+def test_together(spark):
+    """Words in common with repeats and without, and long sentences, of pairs that meet at several places."""
+    rng = random.Random(5)
+    long = ["this is a long sentence that some of the texts have.", "and here is another long one of more than forty characters."]
+    texts = {i: " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(0, 20))) + (". " + rng.choice(long) if i % 4 == 0 else "") for i in range(30)} | {30: None, 31: ""}
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")
+    rows = [(a, b, rng.randrange(3), 0, rng.randrange(2), f"x{a}") for a, b in itertools.combinations(texts, 2) if rng.random() < 0.4]
+    scratch = Scratch(spark, "test")
+    pairs = scratch.keep(spark.createDataFrame(rows, "doc1 long, doc2 long, key int, bucket int, part int, x string"), "pairs")
+    token = lambda t: re.sub(r"[^\w ]", "", t or "").split(" ")
+    said = lambda t: {s.strip() for s in (t or "").split(".") if len(s) > 40}
+    for given in (pairs, scratch.keep(pairs.drop(*ME.PLACE), "bare")):
+        got = {(r.doc1, r.doc2): r for r in together(given, docs, scratch, sentences=True).collect()}
+        assert got.keys() == {x[:2] for x in rows}
+        for (a, b), r in got.items():
+            x, y = (Counter(token(texts[k])) for k in (a, b))
+            assert (r.common, r.kinds, r.size1, r.size2, r.kinds1, r.kinds2, r.sentence, r.x) == ((x & y).total(), len(x & y), x.total(), y.total(), len(x), len(y), bool(said(texts[a]) & said(texts[b])), f"x{a}")
+
+
 def test_best_candidates(spark):
     found = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.5), (2, 3, 0.9)], "doc1 long, doc2 long, jaccard double")
     assert {(r.doc, r.other) for r in C.best_candidates(found, 1).collect()} == {(1, 2), (2, 3), (3, 2)}
